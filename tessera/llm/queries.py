@@ -1,11 +1,12 @@
 """The queries of this subpackage and, where SQL can express them, their oracle SQL."""
 
-from . import byte_bpe, exact_dedup, mixing, quality_classifier, quality_rules, simhash, token_output
+from . import byte_bpe, exact_dedup, mixing, quality_classifier, quality_rules, simhash, substring_dedup, token_output
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_token_output": token_output.op2_token_output,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
