@@ -60,3 +60,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
     raise RuntimeError("components did not settle")
+
+
+#: Ids of 8 bytes; a broadcast of so many takes about 32 MB.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """docs without the rows whose doc_id is in ids (one column), which is written first.
+
+    Up to `limit` ids go to the texts; beyond it, Spark joins by shuffle.
+    """
+    ids = cut(ids.toDF("gone"))
+    side = F.broadcast(ids) if ids.count() <= limit else ids
+    return docs.join(side, F.col("doc_id") == F.col("gone"), "left_anti")
