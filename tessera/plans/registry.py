@@ -1,4 +1,6 @@
 """Name -> query and name -> oracle SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from tessera.plans import catalog_queries, vector_queries
+
+QUERIES = vector_queries.QUERIES | catalog_queries.QUERIES
+ORACLES = vector_queries.ORACLES | catalog_queries.ORACLES
