@@ -22,8 +22,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: The transformed statistics and the least standard deviation that each is taken to have.
 SCALES = {"word_length": 0.08, "symbols": 0.25, "dup_lines": 0.4, "repeats": 0.4, "length": 1.0}
-#: Share of rows in the covariance subset, and the consistency factor of that share in 5 dimensions.
-CORE, CORE_FACTOR = 0.75, 1.41
+#: Share of rows in the covariance subset (half: the estimate stands up to as much junk), and its consistency factor in 5 dimensions.
+CORE, CORE_FACTOR = 0.5, 1.91
 #: Squared distance within which rows count in the reweighting step (chi-squared, 5 degrees of freedom, 0.975).
 REWEIGHT = 12.83
 CUTOFF = 40.0
