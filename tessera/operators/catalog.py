@@ -84,10 +84,10 @@ def finish_group(finish: Column) -> Column:
 
 
 def index_rows(cards: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """cards ⋈ embeddings -> card_id, set_code, finish_group, unit embedding, norm; sets of another dimension than the
-    first set's are left out."""
+    """cards ⋈ embeddings -> card_id, set_code, finish_group, unit embedding; a set has the dimension of its first
+    card, the index that of its first set, and vectors of other dimensions are left out."""
     both = cards.join(embeddings, "card_id").select("card_id", "set_code", finish_group(F.col("finish")).alias("finish_group"), normalised(F.col("embedding")).alias("embedding"))
-    dims = both.groupBy("set_code").agg(F.first(F.size("embedding")).alias("dim"))
+    dims = both.groupBy("set_code").agg(F.min_by(F.size("embedding"), "card_id").alias("dim"))
     right = dims.groupBy().agg(F.min_by("dim", "set_code").alias("right"))
     keep = dims.join(F.broadcast(right), F.col("dim") == F.col("right")).select("set_code", "dim")
     return both.join(keep, "set_code").where(F.size("embedding") == F.col("dim")).drop("dim")
