@@ -189,7 +189,7 @@ def _chunks(batch: pd.DataFrame):
 
 def bitmap(keys: DataFrame, bits_each: int, most: int = MAX_BITS) -> np.ndarray:
     """A bitmap with the bit of each key (hashed longs); a power of two bits, bits_each for a key, `most` at most."""
-    bits = min(most, max(1 << 16, 1 << (keys.count() * bits_each).bit_length()))
+    bits = min(most, max(1 << 22, 1 << (keys.count() * bits_each).bit_length()))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         flags = np.zeros(1 << 16, bool)
