@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of every contract here: blank, tab to carriage return.
@@ -29,9 +29,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: What a null doc_id reads as.
+NO_ID = -(1 << 63)
+
+
+def id_of(name: str = "doc_id") -> Column:
+    return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) alone, null texts as empty ones; columns of other names cannot clash later."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """(doc_id, text) alone; columns of other names cannot clash later. Null texts read as empty ones, null ids as NO_ID."""
+    return docs.select(id_of(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +81,4 @@ def without(docs: DataFrame, ids: DataFrame, limit: int = BROADCAST_IDS) -> Data
     """
     ids = cut(ids.toDF("gone"))
     side = F.broadcast(ids) if ids.count() <= limit else ids
-    return docs.join(side, F.col("doc_id") == F.col("gone"), "left_anti")
+    return docs.join(side, id_of() == F.col("gone"), "left_anti")

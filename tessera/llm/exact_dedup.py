@@ -30,7 +30,7 @@ def exact_dedup(docs: DataFrame, digest_all: bool = False, broadcast_groups: int
 
     The row with the most code points in the original text, then the smallest doc_id, stays. Null text counts as empty,
     empty texts are equal to each other, an empty table gives no rows. text_sha256 is null where no full hash was
-    needed, unless digest_all. A null doc_id loses ties; rows with the same doc_id and text stay apart in group_size and
+    needed, unless digest_all. A null doc_id reads as the smallest one; rows with the same doc_id and text stay apart in group_size and
     all carry the verdict of that doc_id.
     """
     sketch = _normalised(docs).select("len", "prefix")
@@ -43,9 +43,9 @@ def exact_dedup(docs: DataFrame, digest_all: bool = False, broadcast_groups: int
     full = F.sha2(F.col("norm").cast("binary"), 256)
     rows = rows.select("doc_id", "chars", "len", "prefix", F.coalesce("open", F.lit(False)).alias("open"), (full if digest_all else F.when(F.col("open"), full)).alias("text_sha256"))
     rows = cut(rows)
-    best = F.max(F.struct("chars", (-F.col("doc_id")).alias("last"))).alias("best")
+    best = F.max(F.struct("chars", F.bitwise_not("doc_id").alias("last"))).alias("best")
     groups = rows.where("open").groupBy("len", "text_sha256").agg(F.count("*").alias("group_size"), best).where("group_size > 1")
-    groups = cut(groups.select("len", "text_sha256", "group_size", (-F.col("best.last")).alias("keep_id")))
+    groups = cut(groups.select("len", "text_sha256", "group_size", F.bitwise_not("best.last").alias("keep_id")))
     out = rows.join(groups, ["len", "text_sha256"], "left")
     return out.select(
         "doc_id",
