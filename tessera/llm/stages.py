@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import byte_bpe, exact_dedup, mixing, quality_rules, simhash
-from .common import BROADCAST_IDS, cut, without
+from .common import BROADCAST_IDS, cut, id_of, without
 
 #: Shares of tokens that the pipeline aims at, the tokens to have, and the least and greatest rate of a document.
-PIPELINE_TARGETS = {"good": 0.92, "poor": 0.04, "toxic": 0.04}
-PIPELINE_GROWTH = 1.1
+PIPELINE_TARGETS = {"good": 0.86, "poor": 0.02, "toxic": 0.12}
+PIPELINE_GROWTH = 1.15
 PIPELINE_FLOOR, PIPELINE_CAP = 1.0, 4.0
 
 
@@ -36,7 +36,7 @@ def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     more = cut(rates.where("copies > 1").select(F.col("doc_id").alias("again"), "copies"))
     side = F.broadcast(more) if more.count() <= BROADCAST_IDS else more
     times = F.explode(F.sequence(F.lit(1), F.coalesce("copies", F.lit(1))))
-    return docs.join(side, F.col("doc_id") == F.col("again"), "left").select(*[docs[c] for c in docs.columns], times.alias("__copy")).drop("__copy")
+    return docs.join(side, id_of() == F.col("again"), "left").select(*[docs[c] for c in docs.columns], times.alias("__copy")).drop("__copy")
 
 
 def tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
