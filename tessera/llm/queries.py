@@ -16,5 +16,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_substring_dedup": substring_dedup.OP5_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }

@@ -329,3 +329,13 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = Fa
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup_substrings(documents(spark, sf_dir))
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, k, row_number() OVER (PARTITION BY s ORDER BY doc_id, k) AS n FROM (SELECT doc_id, k, array_to_string(w[k:k + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS k FROM d))),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+y AS (SELECT x.doc_id, x.i, x.word, coalesce(max(r.k) OVER (PARTITION BY x.doc_id ORDER BY x.i), -99) < x.i - 19 AS kept FROM x LEFT JOIN (SELECT doc_id, k FROM g WHERE n > 1) r ON r.doc_id = x.doc_id AND r.k = x.i),
+t AS (SELECT doc_id, count(*) FILTER (NOT kept) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (kept) AS txt FROM y GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(txt, '')) AS kept_sha256 FROM d LEFT JOIN t ON t.doc_id = d.doc_id
+"""
