@@ -4,9 +4,10 @@ A classifier fitted on a labelled table predicts every document's posterior over
 for each domain with that share of its tokens. Document rates r >= floor are fitted so that the expected token totals
 A r, with A = posterior * tokens, match the targets t in least squares, by accelerated projected gradient from r = 1.
 
-The gradient of one document is a small function of the K domain residuals alone: rescaling r by the square root of
-tokens, the step is r_i <- clip(y_i - step * p_i . (A y - t) / T). So the state of the whole fit is the history of K
-residuals, which goes to the tasks (at most `steps` x K numbers); each iteration folds the history over a written table
+The residuals are weighted by the inverse of G, the token-weighted second moments of the posteriors, and r is rescaled
+by the square root of tokens. Then the gradient has Lipschitz constant 1 and, while no bound is active, condition number
+1, and one document's step is a small function of the K residuals alone: r_i <- clip(y_i - p_i . G^-1 (A y - t) / T).
+So the state of the whole fit is the history of K numbers, which goes to the tasks (at most `steps` x K numbers); each iteration folds the history over a written table
 of posteriors and returns K partial sums a batch. Nothing else is shuffled, and no document is collected.
 """
 
@@ -28,7 +29,9 @@ FIT_ROWS = 4_000
 FIT_CHARS = 20_000
 FIT_WORDS = 200
 STEPS = 60
+#: Of all tokens: the gap to the targets that ends the fit, and the progress below which it stands still.
 TOLERANCE = 1e-4
+STALL = 1e-4
 CAP = 8.0
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.8, "poor": 0.15, "toxic": 0.05}
@@ -107,15 +110,15 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
 class Fit:
     """The residual history of an accelerated projected gradient; rates(p) replays it for any documents."""
 
-    def __init__(self, floor: float, cap: float, step: float):
-        self.floor, self.cap, self.step, self.history = floor, cap, step, []
+    def __init__(self, floor: float, cap: float):
+        self.floor, self.cap, self.history = floor, cap, []
 
     def rates(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rates and the extrapolated point after all steps so far, for rows of posteriors."""
         r = np.clip(np.ones(len(p)), self.floor, self.cap)
         y = r
         for k, g in enumerate(self.history):
-            new = np.clip(y - self.step * (p @ g), self.floor, self.cap)
+            new = np.clip(y - p @ g, self.floor, self.cap)
             r, y = new, new + k / (k + 3) * (new - r)
         return r, y
 
@@ -130,7 +133,8 @@ def fit_rates(rows: DataFrame, targets: np.ndarray, floor: float, cap: float, st
     gram = np.zeros((k, k))
     for i, j in pairs:
         gram[i, j] = gram[j, i] = (got[f"a{i}_{j}"] or 0) / max(size, 1)
-    fit = Fit(floor, cap, 1.0 / max(np.linalg.eigvalsh(gram)[-1], 1e-9))
+    inverse = np.linalg.inv(gram + max(1e-6 * np.trace(gram), 1e-12) * np.eye(k))
+    fit = Fit(floor, cap)
 
     def totals() -> tuple[np.ndarray, np.ndarray]:
         held = context.broadcast(fit)
@@ -152,10 +156,10 @@ def fit_rates(rows: DataFrame, targets: np.ndarray, floor: float, cap: float, st
     for _ in range(steps):
         reached, ahead = totals()
         gap = reached - targets
-        if np.abs(gap).max() <= TOLERANCE * size or (len(fit.history) >= 8 and np.abs(last - reached).max() <= 1e-7 * size):  # noqa: F821
+        if np.abs(gap).max() <= TOLERANCE * size or (len(fit.history) >= 4 and np.abs(last - reached).max() <= STALL * size):  # noqa: F821
             break
         last = reached
-        fit.history.append((ahead - targets) / size)
+        fit.history.append(inverse @ (ahead - targets) / size)
     return fit, reached
 
 
