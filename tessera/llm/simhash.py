@@ -24,7 +24,7 @@ from .common import components, cut, documents, texts
 
 SEED = 42
 LINK_BITS = 3
-#: Fingerprints that a shard should hold, and that the driver fits a tree on.
+#: Fingerprints that a shard should hold, and that the driver fits a tree on (by a hash, at most about twice as many).
 SHARD_ROWS = 512
 SAMPLE_ROWS = 16_384
 MAX_LEAVES = 65_536
@@ -181,7 +181,7 @@ def _routed(points: DataFrame, trees) -> DataFrame:
 def links(points: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Edges (a, b) that connect exactly the fingerprints within LINK_BITS of each other; points: distinct fp."""
     n = points.count()
-    sample = np.array([r[0] for r in points.orderBy(F.xxhash64("fp")).limit(SAMPLE_ROWS).collect()], np.int64)
+    sample = np.array([r[0] for r in points.where(F.pmod(F.xxhash64("fp"), F.lit(max(1, n // SAMPLE_ROWS))) == 0).collect()], np.int64)
     depth = max(0, min(int(math.log2(MAX_LEAVES)), math.ceil(math.log(max(1, n / shard_rows)) / 0.57)))
     trees = [Tree(half, depth) for half in _halves(sample)] if len(sample) else [Tree(np.zeros(0, np.uint32), 0)] * 2
     for _ in range(4):
