@@ -30,6 +30,9 @@ CUTOFF = 40.0
 STEPS = 3
 MIN_GROUP = 60
 BINS = 24
+#: Groups whose parameters are broadcast (about 200 bytes each), and salts of a hot group beyond it.
+BROADCAST_GROUPS = 50_000
+SALTS = 32
 
 
 def _let(value: Column, body) -> Column:
@@ -87,6 +90,19 @@ def _vectors(stats: DataFrame) -> DataFrame:
     return stats.select("*", *[(values[k] / s).alias(f"x{i}") for i, (k, s) in enumerate(SCALES.items())])
 
 
+def _joined(rows: DataFrame, params: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows with the parameters of their group, a written table of one row a group.
+
+    Up to BROADCAST_GROUPS groups go to the rows, which then need no exchange before they are aggregated in part. Beyond
+    it, both sides are dealt by group and one of SALTS numbers, so that a hot group is spread over as many tasks.
+    """
+    if params.count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(params), on, how)
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
+    spread = params.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(spread, [*on, "__salt"], how).drop("__salt")
+
+
 P = len(SCALES)
 LOWER = [(i, j) for i in range(P) for j in range(i + 1)]
 
@@ -132,19 +148,19 @@ def mcd_distances(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """grp and the final parameters (suffix _f) of each group; rows: grp, x0..x4, a written table."""
     everything = _factor(_moments(rows, F.lit(True)), 1.0, "_a")
     middle = cut(rows.groupBy("grp").agg(*[F.percentile_approx(f"x{i}", 0.5, 10_000).alias(f"c{i}") for i in range(P)]))
-    spread = rows.join(middle, "grp").groupBy("grp").agg(*[F.first(f"c{i}").alias(f"m{i}") for i in range(P)], *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"c{i}")), 0.5, 10_000).alias(f"s{i}") for i in range(P)])
+    spread = _joined(rows, middle, ["grp"]).groupBy("grp").agg(*[F.first(f"c{i}").alias(f"m{i}") for i in range(P)], *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"c{i}")), 0.5, 10_000).alias(f"s{i}") for i in range(P)])
     diagonal = lambda i, j: (F.pow(1.4826 * F.col(f"s{i}"), 2) if i == j else F.lit(0.0)) + F.col(f"m{i}") * F.col(f"m{j}")
     robust = _factor(spread.select("*", *[diagonal(i, j).alias(f"q{i}{j}") for i, j in LOWER]), 1.0, "_b")
     params = cut(everything.join(robust, "grp"))
     for _ in range(steps):
-        far = _distance(_distance(rows.join(params, "grp"), "_a"), "_b")
+        far = _distance(_distance(_joined(rows, params, ["grp"]), "_a"), "_b")
         binned = far.select("grp", *[f"x{i}" for i in range(P)], _bin("d_a").alias("b_a"), _bin("d_b").alias("b_b"))
         limits = cut(_core(binned, "_a").join(_core(binned, "_b"), "grp"))
-        binned = binned.join(limits, "grp")
+        binned = _joined(binned, limits, ["grp"])
         params = cut(_factor(_moments(binned, F.expr("b_a <= t_a")), CORE_FACTOR, "_a").join(_factor(_moments(binned, F.expr("b_b <= t_b")), CORE_FACTOR, "_b"), "grp"))
     better = lambda c: F.when(F.col("det_b") < F.col("det_a"), F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(f"{c}_c")
     chosen = cut(params.select("grp", *[better(f"m{i}") for i in range(P)], *[better(f"l{i}{j}") for i, j in LOWER]))
-    return cut(_factor(_moments(_distance(rows.join(chosen, "grp"), "_c"), F.col("d_c") <= REWEIGHT), 1.0, "_f"))
+    return cut(_factor(_moments(_distance(_joined(rows, chosen, ["grp"]), "_c"), F.col("d_c") <= REWEIGHT), 1.0, "_f"))
 
 
 def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
@@ -163,9 +179,9 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_
     named = cut(sizes.join(spare, "lang", "left").select("lang", "source", F.coalesce("own", pooled).alias("grp"), "n"))
     enough = [r[0] for r in named.where("grp = 'all'").groupBy("grp").agg(F.sum("n")).where(F.col("sum(n)") < min_group).select("grp").collect()]
     named = named.where(~F.col("grp").isin(enough)) if enough else named
-    rows = cut(stats.join(named.drop("n"), ["lang", "source"], "left"))
+    rows = cut(_joined(stats, named.drop("n"), ["lang", "source"], "left"))
     params = mcd_distances(rows.where("NOT base_failed AND grp IS NOT NULL").select("grp", *[f"x{i}" for i in range(P)]))
-    judged = _distance(rows.join(params, "grp", "left"), "_f").withColumn("distance2", F.when(~F.col("base_failed"), F.col("d_f")))
+    judged = _distance(_joined(rows, params, ["grp"], "left"), "_f").withColumn("distance2", F.when(~F.col("base_failed"), F.col("d_f")))
     kept = ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= cutoff)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("distance2", 3).alias("distance2"))
 

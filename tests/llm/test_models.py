@@ -43,7 +43,9 @@ def mixed_quality():
     return rows
 
 
-def test_quality_rules(spark, corpus, mixed_quality):
+@pytest.mark.parametrize("groups", [50_000, 0])
+def test_quality_rules(spark, corpus, mixed_quality, groups, monkeypatch):
+    monkeypatch.setattr(quality_rules, "BROADCAST_GROUPS", groups)
     rows = mixed_quality + [(10_000 + i, t, None, None, 0) for i, t in corpus]
     got = {r.doc_id: r for r in quality_rules.quality_rules(table(spark, rows)).collect()}
     assert len(got) == len(rows)
