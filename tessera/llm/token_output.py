@@ -1,7 +1,7 @@
 """Token-id output: every document's ids as one zstandard frame under a shared dictionary.
 
 A write makes a folder of shard files and one dictionary file. The dictionary is trained on the serialised id arrays of
-a bounded sample (`SAMPLE_DOCS` documents by hash order, `SAMPLE_CHARS` of each; it only affects the size of the files).
+a bounded sample (about `SAMPLE_DOCS` documents by a hash of the id, `SAMPLE_CHARS` of each; it only affects the size of the files).
 Documents go to shards by ranges of doc_id; each task encodes its range and writes one file of its own attempt, so lost
 or repeated tasks leave no half-written shard in the manifest. A shard is
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -53,43 +54,86 @@ def _tokenizer(model: str):
     return t
 
 
+#: A blank beside other white space or at an edge; without one, every blank opens a slice of its own with what follows.
+_UNEVEN = re.compile(r" \s|\s |^ | $")
+CACHE_UNITS = 400_000
+_encoders: dict = {}
+
+
+def encoder_of(model: str):
+    """One encoder a worker, so that its caches outlive a task."""
+    name = hashlib.sha256(model.encode()).hexdigest()
+    if name not in _encoders:
+        _encoders.clear()
+        _encoders[name] = _Encoder(model)
+    return _encoders[name]
+
+
 class _Encoder:
-    """Ids of whole texts by the tokenizers library.
+    """Serialised ids of whole texts by the tokenizers library.
 
-    Where the model splits texts by the byte-level pattern alone, the library gets each distinct slice once and its ids
-    are kept in a bounded cache; any other model gets the texts themselves.
+    Where the model splits texts by the byte-level pattern alone, blank-separated units are looked up first, the slices
+    of unseen units next, and the library gets each unseen slice once; all caches are bounded. Any other model gets the
+    texts themselves.
     """
 
     def __init__(self, model: str):
         self.tokenizer = _tokenizer(model)
+        self.dtype = "<u2" if self.tokenizer.get_vocab_size() < 65_536 else "<u4"
         spec = json.loads(model)
         split = spec.get("pre_tokenizer") or {}
         self.by_slices = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and all(t["special"] for t in spec.get("added_tokens", [])) and not spec["model"].get("continuing_subword_prefix") and not spec["model"].get("end_of_word_suffix")
-        self.new, self.old = {}, {}
+        self.first: dict[str, bytes] = {}
+        self.later: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def __call__(self, some: list[str]):
-        return self._by_slices(some) if self.by_slices else self._whole(some)
-
-    def _whole(self, some: list[str]):
-        for chunk in _chunks(some):
-            for e in self.tokenizer.encode_batch_fast(chunk, add_special_tokens=False):
-                yield e.ids
-
-    def _by_slices(self, some: list[str]):
         for chunk in _chunks(some):
-            cut = [pieces for pieces, _ in slices(chunk)]
-            if len(self.new) > CACHE_SLICES:
-                self.new, self.old = {}, self.new
-            known, missing = self.new, []
-            for piece in set(chain.from_iterable(cut)).difference(known):
-                if (ids := self.old.get(piece)) is None:
-                    missing.append(piece)
-                else:
-                    known[piece] = ids
-            if missing:
-                known.update(zip(missing, (e.ids for e in self.tokenizer.encode_batch_fast(missing, add_special_tokens=False))))
-            for pieces in cut:
-                yield list(chain.from_iterable(map(known.__getitem__, pieces)))
+            yield from self._by_units(chunk) if self.by_slices else map(self._bytes, self.tokenizer.encode_batch_fast(chunk, add_special_tokens=False))
+
+    def _bytes(self, encoding) -> bytes:
+        return np.array(encoding.ids, self.dtype).tobytes()
+
+    def _pieces(self, cut: list[list[str]]) -> dict[str, bytes]:
+        """The ids of slices, with all of cut among them; the library gets those that no cache has."""
+        if len(self.known) > CACHE_SLICES:
+            self.known, self.old = {}, self.known
+        known, missing = self.known, []
+        for piece in set(chain.from_iterable(cut)).difference(known):
+            if (ids := self.old.get(piece)) is None:
+                missing.append(piece)
+            else:
+                known[piece] = ids
+        if missing:
+            known.update(zip(missing, map(self._bytes, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False))))
+        return known
+
+    def _units(self, units: list[str]) -> list[bytes]:
+        """Ids of units, each behind a blank, from the slices of one text: a slice with a blank starts a unit."""
+        ((pieces, _),) = slices([" " + " ".join(units)])
+        known = self._pieces([pieces])
+        ids = list(map(known.__getitem__, pieces))
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        heads = np.flatnonzero(np.fromiter((p[0] == " " for p in pieces), bool, len(pieces)))
+        cuts, blob = [*(ends[heads] - [len(ids[h]) for h in heads]).tolist(), int(ends[-1])], b"".join(ids)
+        return [blob[x:y] for x, y in zip(cuts, cuts[1:])]
+
+    def _by_units(self, chunk: list[str]):
+        if len(self.later) > CACHE_UNITS or len(self.first) > CACHE_UNITS:
+            self.first, self.later = {}, {}
+        first, later = self.first, self.later
+        units = [None if not t or _UNEVEN.search(t) else t.split(" ") for t in chunk]
+        if tails := list(set(chain.from_iterable(u[1:] for u in units if u)).difference(later)):
+            later.update(zip(tails, self._units(tails)))
+        heads = list({u[0] for u in units if u}.difference(first))
+        rest = [pieces for pieces, _ in slices([*heads, *[t for t, u in zip(chunk, units) if u is None]])]
+        known = self._pieces(rest)
+        got = [b"".join(map(known.__getitem__, pieces)) for pieces in rest]
+        first.update(zip(heads, got))
+        whole = iter(got[len(heads) :])
+        for u in units:
+            yield next(whole) if u is None else b"".join([first[u[0]], *map(later.__getitem__, u[1:])])
 
 
 def _chunks(some: list[str]):
@@ -125,10 +169,11 @@ class ShardWriter:
         self.stream.write(b)
         self.at += len(b)
 
-    def add(self, doc_id: int, ids: np.ndarray):
-        frame = self.compress(ids.astype(self.dtype).tobytes())
-        self.index.append((doc_id, self.at, len(frame), len(ids)))
-        self.ids += len(ids)
+    def add(self, doc_id: int, ids: bytes):
+        """ids: serialised in the shard's dtype."""
+        frame, n = self.compress(ids), len(ids) // np.dtype(self.dtype).itemsize
+        self.index.append((doc_id, self.at, len(frame), n))
+        self.ids += n
         self._put(frame)
 
     def close(self):
@@ -172,7 +217,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer_json: str, end_id: int | N
     """Encode each text (null: empty), append end_id if given, and write the shards of folder in ascending doc_id order.
 
     Returns the manifest, which is also in folder/manifest.json: dictionary (its hash), and for each shard in order its
-    file, documents, ids and first id. Null ids of documents are refused; repeated rows are written as often as they
+    file, documents, ids and first id. Repeated rows are written as often as they
     occur; an empty table gives no shards.
     """
     spark = docs.sparkSession
@@ -180,9 +225,11 @@ def write_ids(docs: DataFrame, folder: str, tokenizer_json: str, end_id: int | N
         model = f.read()
     rows = texts(docs)
     encoder = _Encoder(model)
-    dtype = "<u2" if encoder.tokenizer.get_vocab_size() < 65_536 and (end_id or 0) < 65_536 else "<u4"
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select(F.substring("text", 1, SAMPLE_CHARS)).collect()
-    dictionary = train_dictionary([np.array(x, dtype).tobytes() for x in encoder([r[0] for r in sample]) if len(x) > 7])
+    dtype = encoder.dtype
+    end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
+    some = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, rows.count() // SAMPLE_DOCS))) == 0
+    sample = rows.where(some).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(2 * SAMPLE_DOCS).collect()
+    dictionary = train_dictionary([x for x in encoder([r[0] for r in sample]) if len(x) > 7])
     name = hashlib.sha256(dictionary).hexdigest()
     system, path = _open(folder)
     system.create_dir(path, recursive=True)
@@ -199,12 +246,11 @@ def write_ids(docs: DataFrame, folder: str, tokenizer_json: str, end_id: int | N
             if not len(b):
                 continue
             if writer is None:
-                encoder = _Encoder(held.value[0])
+                encoder = encoder_of(held.value[0])
                 system, path = _open(folder)
                 writer = ShardWriter(system.open_output_stream(f"{path}/{file}"), held.value[1], dtype)
-            end = [] if end_id is None else [end_id]
             for doc_id, ids in zip(b["doc_id"].tolist(), encoder(b["text"].tolist())):
-                writer.add(doc_id, np.array(ids + end, np.uint32))
+                writer.add(doc_id, ids + end)
         if writer is not None:
             writer.close()
             yield pd.DataFrame({"part": [own.partitionId()], "file": [file], "documents": [len(writer.index)], "ids": [writer.ids]})
