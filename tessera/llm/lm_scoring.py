@@ -57,6 +57,21 @@ def slot(word: str) -> int:
     return xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) % HASHED
 
 
+class _Rows(dict):
+    """Word -> row of the vocabulary; other words get the row of their hash class, and are remembered for one chunk."""
+
+    def __init__(self, known: dict[str, int]):
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, word: str) -> int:
+        row = self.known.get(word)
+        if row is None:
+            row = len(self.known) + slot(word)
+        self[word] = row
+        return row
+
+
 class Vocabulary:
     """Class and log P(word | class) of any word."""
 
@@ -73,18 +88,27 @@ class Vocabulary:
             s = slot(w)
             self.known[w] = (OWN + s, float(np.log(n / total[s][0])))
             rare[s] = [rare[s][0] - n, rare[s][1] - 1]
-        self.rest = [(OWN + s, float(np.log(max(rare[s][0], 1.0) / total[s][0] / max(rare[s][1], 1))) if s in rare else 0.0) for s in range(HASHED)]
+        rest = [(OWN + s, float(np.log(max(rare[s][0], 1.0) / total[s][0] / max(rare[s][1], 1))) if s in rare else 0.0) for s in range(HASHED)]
+        rows = [*self.known.values(), *rest]
+        self.classes, self.inner = np.array([c for c, _ in rows], np.int64), np.array([p for _, p in rows])
+        self.row = {w: i for i, w in enumerate(self.known)}
 
     def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [self.known.get(w) or self.rest[slot(w)] for w in words]
-        return np.array([c for c, _ in got], np.int64), np.array([p for _, p in got])
+        at = np.fromiter(map(_Rows(self.row).__getitem__, words), np.int64, len(words))
+        return self.classes[at], self.inner[at]
 
 
 def fit_vocabulary(rows: DataFrame) -> Vocabulary:
     from .common import cut
 
     counts = cut(word_counts(rows))
-    top = [(r[0], r[1]) for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).select("word", "n").collect()]
+    size = F.floor(F.log2("n") * 8)  # only words of the sizes that can be among the most frequent go to the driver
+    least, found = 0, 0
+    for r in sorted(counts.groupBy(size.alias("size")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        least, found = r["size"], found + r["words"]
+        if found >= VOCABULARY:
+            break
+    top = [(r[0], r[1]) for r in counts.where(size >= least).orderBy(F.desc("n"), "word").limit(VOCABULARY).select("word", "n").collect()]
     by_slot = {r[0]: (r[1], r[2]) for r in counts.groupBy("slot").agg(F.sum("n"), F.count("*")).collect()}
     return Vocabulary(top, by_slot)
 
@@ -103,23 +127,28 @@ class Network:
     def hidden(self, sides: np.ndarray) -> np.ndarray:
         return np.tanh(sum(self.near[k][sides[k]] for k in range(len(SIDES))) + self.bias)
 
-    def log_probabilities(self, h: np.ndarray) -> np.ndarray:
-        z = h @ self.out + self.base
+    def logits(self, h: np.ndarray) -> np.ndarray:
+        """Logits less their row's maximum."""
+        z = h @ self.out
+        z += self.base
         z -= z.max(1, keepdims=True)
-        return z - np.log(np.exp(z).sum(1, keepdims=True))
+        return z
 
     def score(self, sides: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """log P of each class given its sides."""
         out = np.empty(len(y))
-        for i in range(0, len(y), 8192):
-            p = self.log_probabilities(self.hidden(sides[:, i : i + 8192]))
-            out[i : i + 8192] = p[np.arange(len(p)), y[i : i + 8192]]
+        for i in range(0, len(y), BATCH):
+            z = self.logits(self.hidden(sides[:, i : i + BATCH]))
+            own = z[np.arange(len(z)), y[i : i + BATCH]]
+            out[i : i + BATCH] = own - np.log(np.exp(z, out=z).sum(1))
         return out
 
     def gradient(self, sides: np.ndarray, y: np.ndarray) -> np.ndarray:
         h = self.hidden(sides)
-        g = np.exp(self.log_probabilities(h))
-        g[np.arange(len(y)), y] -= 1
-        g /= len(y)
+        g = self.logits(h)
+        np.exp(g, out=g)
+        g /= g.sum(1, keepdims=True) * len(y)
+        g[np.arange(len(y)), y] -= 1 / len(y)
         back = (g @ self.out.T) * (1 - h * h)
         near = np.zeros(SHAPES[0], np.float32)
         for k in range(len(SIDES)):
