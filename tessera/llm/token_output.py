@@ -16,10 +16,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -37,7 +38,7 @@ INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u8"), ("ids
 SAMPLE_DOCS = 2_000
 SAMPLE_CHARS = 4_000
 DICTIONARY_BYTES = 64 * 1024
-LEVEL = 6
+LEVEL = 3
 CHUNK_CHARS = 500_000
 
 
@@ -54,9 +55,15 @@ def _tokenizer(model: str):
     return t
 
 
-#: A blank beside other white space or at an edge; without one, every blank opens a slice of its own with what follows.
-_UNEVEN = re.compile(r" \s|\s |^ | $")
-CACHE_UNITS = 400_000
+_SPACES = [c for c in map(chr, range(0x3100)) if c.isspace() and c != " "]
+
+
+def _uneven(text: str) -> bool:
+    """Whether a blank stands beside other white space or at an edge; if not, every blank opens a slice with what follows."""
+    return not text or text[0] == " " or text[-1] == " " or "  " in text or any(c in text and (c + " " in text or " " + c in text) for c in _SPACES)
+
+
+CACHE_UNITS = 500_000
 _encoders: dict = {}
 
 
@@ -85,6 +92,7 @@ class _Encoder:
         self.by_slices = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and all(t["special"] for t in spec.get("added_tokens", [])) and not spec["model"].get("continuing_subword_prefix") and not spec["model"].get("end_of_word_suffix")
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -93,7 +101,10 @@ class _Encoder:
             yield from self._by_units(chunk) if self.by_slices else map(self._bytes, self.tokenizer.encode_batch_fast(chunk, add_special_tokens=False))
 
     def _bytes(self, encoding) -> bytes:
-        return np.array(encoding.ids, self.dtype).tobytes()
+        ids = array("H" if self.dtype == "<u2" else "I", encoding.ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _pieces(self, cut: list[list[str]]) -> dict[str, bytes]:
         """The ids of slices, with all of cut among them; the library gets those that no cache has."""
@@ -120,11 +131,19 @@ class _Encoder:
         return [blob[x:y] for x, y in zip(cuts, cuts[1:])]
 
     def _by_units(self, chunk: list[str]):
-        if len(self.later) > CACHE_UNITS or len(self.first) > CACHE_UNITS:
-            self.first, self.later = {}, {}
+        if len(self.first) > CACHE_UNITS:
+            self.first = {}
+        if len(self.later) > CACHE_UNITS:
+            self.later, self.before = {}, self.later
         first, later = self.first, self.later
-        units = [None if not t or _UNEVEN.search(t) else t.split(" ") for t in chunk]
-        if tails := list(set(chain.from_iterable(u[1:] for u in units if u)).difference(later)):
+        units = [None if _uneven(t) else t.split(" ") for t in chunk]
+        tails = []
+        for u in set(chain.from_iterable(u[1:] for u in units if u)).difference(later):
+            if (ids := self.before.get(u)) is None:
+                tails.append(u)
+            else:
+                later[u] = ids
+        if tails:
             later.update(zip(tails, self._units(tails)))
         heads = list({u[0] for u in units if u}.difference(first))
         rest = [pieces for pieces, _ in slices([*heads, *[t for t, u in zip(chunk, units) if u is None]])]
