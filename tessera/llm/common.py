@@ -37,9 +37,19 @@ def id_of(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) alone; columns of other names cannot clash later. Null texts read as empty ones, null ids as NO_ID."""
-    return docs.select(id_of(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text) and the key alone; columns of other names cannot clash later. Null texts read as empty ones, null ids as NO_ID."""
+    return docs.select(id_of(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *key)
+
+
+#: 128 bits of all columns of a row: rows of equal keys are equal, whatever their ids.
+ROW = ("__row0", "__row1")
+
+
+def with_row(docs: DataFrame) -> DataFrame:
+    """docs with the columns ROW. Hashes skip nulls, so which columns are null is hashed as well."""
+    cells = [x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    return docs.select("*", *[F.xxhash64(F.lit(i), *cells).alias(k) for i, k in enumerate(ROW)])
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,3 +92,23 @@ def without(docs: DataFrame, ids: DataFrame, limit: int = BROADCAST_IDS) -> Data
     ids = cut(ids.toDF("gone"))
     side = F.broadcast(ids) if ids.count() <= limit else ids
     return docs.join(side, id_of() == F.col("gone"), "left_anti")
+
+
+def _by_row(docs: DataFrame, rows: DataFrame, how: str, limit: int) -> DataFrame:
+    return docs.join(F.broadcast(rows) if rows.count() <= limit else rows, list(ROW), how)
+
+
+def kept_rows(docs: DataFrame, verdicts: DataFrame, single: bool, limit: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of docs that verdicts keeps, without ROW; docs: with ROW; verdicts: ROW and kept, one row per row of docs.
+
+    Ids play no part: rows stay apart wherever any column differs. Rows of one key are equal and share a verdict; with
+    `single`, one of them stays. Up to `limit` keys go to the texts; beyond it, Spark joins by shuffle.
+    """
+    columns = [c for c in docs.columns if c not in ROW]
+    keys = cut(verdicts.groupBy(*ROW).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1")) if single else cut(verdicts.where("NOT kept").select(*ROW, "kept").distinct())
+    left = _by_row(docs, keys.select(*ROW), "left_anti", limit).select(*columns)
+    twice = keys.where("kept").select(*ROW)
+    if not single or twice.isEmpty():
+        return left
+    whole = F.first(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("whole")
+    return left.unionByName(_by_row(docs, twice, "left_semi", limit).groupBy(*ROW).agg(whole).select("whole.*"))

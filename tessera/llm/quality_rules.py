@@ -66,15 +66,15 @@ def _repeat_words(words: Column) -> Column:
     return _let(hashes, count)
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines of each row; null text has no words."""
-    base = docs.select(id_of().alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("text"))
+def statistics(docs: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, key, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines of each row; null text has no words."""
+    base = docs.select(id_of().alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("text"), *key)
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     of_words = _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), _repeat_words(w).alias("n_repeat_words")))
     of_lines = _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     symbols = F.length("text") - F.length(F.regexp_replace("text", "[#*$%&|<>]+", ""))
-    return base.select("doc_id", "lang", "source", of_words.alias("w"), of_lines.alias("l"), symbols.cast("long").alias("n_symbols")).select("doc_id", "lang", "source", "w.*", "l.*", "n_symbols")
+    return base.select("doc_id", *key, "lang", "source", of_words.alias("w"), of_lines.alias("l"), symbols.cast("long").alias("n_symbols")).select("doc_id", *key, "lang", "source", "w.*", "l.*", "n_symbols")
 
 
 def _vectors(stats: DataFrame) -> DataFrame:
@@ -163,13 +163,13 @@ def mcd_distances(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     return cut(_factor(_moments(_distance(_joined(rows, chosen, ["grp"]), "_c"), F.col("d_c") <= REWEIGHT), 1.0, "_f"))
 
 
-def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
-    """One row per row of docs: doc_id, the statistics, base_failed, distance2 (null if base_failed or not fitted), kept.
+def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP, key: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, key (columns of docs), the statistics, base_failed, distance2 (null if base_failed or not fitted), kept.
 
     Null lang and source are groups of their own (the empty string). An empty table gives no rows; repeated rows each
     get the same verdict.
     """
-    stats = statistics(docs)
+    stats = statistics(docs, key)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     stats = cut(_vectors(stats.withColumn("base_failed", failed)))
     sizes = stats.where(~F.col("base_failed")).groupBy("lang", "source").agg(F.count("*").alias("n"))
@@ -183,7 +183,7 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_
     params = mcd_distances(rows.where("NOT base_failed AND grp IS NOT NULL").select("grp", *[f"x{i}" for i in range(P)]))
     judged = _distance(_joined(rows, params, ["grp"], "left"), "_f").withColumn("distance2", F.when(~F.col("base_failed"), F.col("d_f")))
     kept = ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= cutoff)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("distance2", 3).alias("distance2"))
+    return judged.select("doc_id", *key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("distance2", 3).alias("distance2"))
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -50,15 +50,15 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of each row, fp as a signed long."""
+def fingerprints(docs: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, key) of each row, fp and the columns of key as signed longs."""
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t) for t in b["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64), **{k: b[k] for k in key}})
 
-    return texts(docs).mapInPandas(run, "doc_id long, fp long")
+    return texts(docs, key=key).mapInPandas(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *key)))
 
 
 def bits(a: np.ndarray) -> np.ndarray:
@@ -211,20 +211,25 @@ def links(points: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     return _routed(points, trees).repartition("shard").sortWithinPartitions("shard").mapInPandas(search, "a long, b long")
 
 
-def simhash_components(docs: DataFrame) -> DataFrame:
+def simhash_components(docs: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
     Null and empty texts have fingerprint zero and link like any other; repeated rows get equal fingerprints and one
-    component; an empty table gives no rows. Work is on distinct fingerprints, so copies cost one row each.
+    component; an empty table gives no rows. With a key (long columns of docs), rows also have it and kept, which holds
+    for the smallest doc_id, then key, of each component, whatever other components have the same doc_id. Work is on distinct fingerprints, so copies cost one row each.
     """
-    prints = cut(fingerprints(docs))
-    groups = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    prints = cut(fingerprints(docs, key))
+    order = F.struct("doc_id", *key) if key else F.col("doc_id")
+    groups = cut(prints.groupBy("fp").agg(F.min(order).alias("first")))
     linked = components(links(groups.select("fp")))
     rooted = groups.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = cut(rooted)
     least = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     named = cut(rooted.join(least, "root").select("fp", "component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    shown = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
+    if not key:
+        return prints.join(named, "fp").select("doc_id", shown, "component_id")
+    return prints.join(named, "fp").select("doc_id", *key, shown, F.col("component_id.doc_id").alias("component_id"), (order == F.col("component_id")).alias("kept"))
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

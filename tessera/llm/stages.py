@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import byte_bpe, exact_dedup, mixing, quality_rules, simhash
-from .common import BROADCAST_IDS, cut, id_of, without
+from .common import BROADCAST_IDS, ROW, cut, id_of, kept_rows, with_row
 
 #: Shares of tokens that the pipeline aims at, the tokens to have, and the least and greatest rate of a document.
 PIPELINE_TARGETS = {"good": 0.86, "poor": 0.02, "toxic": 0.12}
@@ -16,17 +16,20 @@ PIPELINE_FLOOR, PIPELINE_CAP = 1.0, 4.0
 
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return without(docs, quality_rules.quality_rules(docs).where("NOT kept").select("doc_id"))
+    docs = with_row(docs)
+    return kept_rows(docs, quality_rules.quality_rules(docs, key=ROW).select(*ROW, "kept"), False)
 
 
 def exact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return without(docs, exact_dedup.exact_dedup(docs).where("NOT kept").select("doc_id"))
+    """One row of each group of equal texts."""
+    docs = with_row(docs)
+    return kept_rows(docs, exact_dedup.exact_dedup(docs, key=ROW).select(*ROW, "kept"), True)
 
 
 def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates: the smallest id."""
-    return without(docs, simhash.simhash_components(docs).where("doc_id <> component_id").select("doc_id"))
+    """One document of each component of near-duplicates: the smallest id, and one row of it."""
+    docs = with_row(docs)
+    return kept_rows(docs, simhash.simhash_components(docs, ROW).select(*ROW, "kept"), True)
 
 
 def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
