@@ -94,17 +94,17 @@ def fit_classifier(docs: DataFrame, domains: DataFrame, names: tuple[str, ...])
     return Classifier([r[0] for r in rows], [r[1] for r in rows], names)
 
 
-def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
-    """doc_id, n_tokens and the posteriors p0.. of each row; tokens are the words between white space."""
+def memberships(docs: DataFrame, model: Classifier, key: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, key (long columns), n_tokens and the posteriors p0.. of each row; tokens are the words between white space."""
     held, k = docs.sparkSession.sparkContext.broadcast(model), len(model.names)
 
     def run(batches):
         for b in batches:
             some = b["text"].tolist()
             p = held.value.posterior(some)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [len(t.split()) for t in some], **{f"p{i}": p[:, i] for i in range(k)}})
+            yield pd.DataFrame({"doc_id": b["doc_id"], **{c: b[c] for c in key}, "n_tokens": [len(t.split()) for t in some], **{f"p{i}": p[:, i] for i in range(k)}})
 
-    return docs.mapInPandas(run, "doc_id long, n_tokens long, " + ", ".join(f"p{i} double" for i in range(k)))
+    return docs.mapInPandas(run, ", ".join([f"{c} long" for c in ("doc_id", *key, "n_tokens")] + [f"p{i} double" for i in range(k)]))
 
 
 class Fit:
@@ -163,19 +163,19 @@ def fit_rates(rows: DataFrame, targets: np.ndarray, floor: float, cap: float, st
     return fit, reached
 
 
-def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], growth: float = 1.0, floor: float = 0.0, cap: float = CAP, seed: int = 42) -> DataFrame:
-    """doc_id, n_tokens, the posterior of each domain (p_<name>), rate, copies.
+def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], growth: float = 1.0, floor: float = 0.0, cap: float = CAP, seed: int = 42, key: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, key (long columns of docs), n_tokens, the posterior of each domain (p_<name>), rate, copies.
 
     domains: doc_id and domain of labelled rows; targets: the share of tokens that each domain is to have, scaled to a
     sum of 1; the mixture is to have growth times the tokens of docs. copies is the rate rounded up or down at random,
-    by a hash of the id, so that its expectation is the rate. Where the targets are out of reach within floor and cap,
+    by a hash of the id and key, so that its expectation is the rate. Where the targets are out of reach within floor and cap,
     the rates are those of the least squares. Null texts have no tokens and count for nothing; rows of equal text and
     repeated rows get equal rates; an empty table gives no rows; without labels the posteriors are equal.
     """
     names = tuple(sorted(targets))
-    rows = texts(docs)
+    rows = texts(docs, key=key)
     model = fit_classifier(rows, domains.where(F.col("domain").isin(*names)), names)
-    members = cut(memberships(rows, model))
+    members = cut(memberships(rows, model, key))
     size = members.agg(F.sum("n_tokens")).first()[0] or 0
     share = np.array([targets[n] for n in names], float)
     fit, _ = fit_rates(members, growth * size * share / share.sum(), floor, cap)
@@ -186,10 +186,10 @@ def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], growth:
             b["rate"] = held.value.rates(b[[f"p{i}" for i in range(k)]].to_numpy())[0]
             yield b
 
-    rated = members.mapInPandas(run, "doc_id long, n_tokens long, " + ", ".join(f"p{i} double" for i in range(k)) + ", rate double")
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    rated = members.mapInPandas(run, ", ".join([f"{c} long" for c in ("doc_id", *key, "n_tokens")] + [f"p{i} double" for i in range(k)] + ["rate double"]))
+    chance = F.pmod(F.xxhash64("doc_id", *key, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
-    return rated.select("doc_id", "n_tokens", *[F.col(f"p{i}").alias(f"p_{n}") for i, n in enumerate(names)], "rate", copies.alias("copies"))
+    return rated.select("doc_id", *key, "n_tokens", *[F.col(f"p{i}").alias(f"p_{n}") for i, n in enumerate(names)], "rate", copies.alias("copies"))
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import byte_bpe, exact_dedup, mixing, quality_rules, simhash
-from .common import BROADCAST_IDS, ROW, cut, id_of, kept_rows, with_row
+from .common import BROADCAST_IDS, ROW, cut, kept_rows, with_row
 
 #: Shares of tokens that the pipeline aims at, the tokens to have, and the least and greatest rate of a document.
 PIPELINE_TARGETS = {"good": 0.86, "poor": 0.02, "toxic": 0.12}
@@ -33,13 +33,14 @@ def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, and rows again for documents whose rate calls for more copies; none is dropped, as the least rate is 1."""
+    """Every row, and again for rows whose rate calls for more copies; none is dropped, as the least rate is 1."""
     known = mixing.labelled(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rates = mixing.mix(docs, known, PIPELINE_TARGETS, PIPELINE_GROWTH, PIPELINE_FLOOR, PIPELINE_CAP)
-    more = cut(rates.where("copies > 1").select(F.col("doc_id").alias("again"), "copies"))
+    rows = with_row(docs)
+    rates = mixing.mix(rows, known, PIPELINE_TARGETS, PIPELINE_GROWTH, PIPELINE_FLOOR, PIPELINE_CAP, key=ROW)
+    more = cut(rates.where("copies > 1").groupBy(*ROW).agg(F.first("copies").alias("__copies")))
     side = F.broadcast(more) if more.count() <= BROADCAST_IDS else more
-    times = F.explode(F.sequence(F.lit(1), F.coalesce("copies", F.lit(1))))
-    return docs.join(side, id_of() == F.col("again"), "left").select(*[docs[c] for c in docs.columns], times.alias("__copy")).drop("__copy")
+    times = F.explode(F.sequence(F.lit(1), F.coalesce("__copies", F.lit(1))))
+    return rows.join(side, list(ROW), "left").select(*[rows[c] for c in docs.columns], times.alias("__copy")).drop("__copy")
 
 
 def tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,3 +46,23 @@ def test_kept_rows_beyond_the_broadcast_limit(spark):
     for limit in (10, 0):
         assert counted(kept_rows(docs, verdicts, True, limit)) == Counter([(None, "b"), (1, "c")])
         assert counted(kept_rows(docs, verdicts, False, limit)) == Counter({(None, "b"): 1, (1, "c"): 2})
+
+
+def test_mixing_copies_rows_and_not_pairs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stages, "PIPELINE_GROWTH", 2.0)
+    a, b, c = some(3)
+    many = some(40, 60, 6)
+    rows = [(7, a), (7, a), (8, b), (8, c), *[(None, t) for t in many]]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = table(spark, rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    # without labels all posteriors and so all rates are equal: twice the tokens are two copies of each row
+    assert counted(stages.mixed(spark, docs, str(tmp_path))) == Counter({k: 2 * n for k, n in Counter(rows).items()})
+
+
+def test_mixing_rounds_rows_of_one_id_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stages, "PIPELINE_GROWTH", 1.5)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = table(spark, [(None, t) for t in some(200, 60, 6)])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert 250 < stages.mixed(spark, docs, str(tmp_path)).count() < 350
