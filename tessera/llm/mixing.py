@@ -163,10 +163,10 @@ def fit_rates(rows: DataFrame, targets: np.ndarray, floor: float, cap: float, st
     return fit, reached
 
 
-def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], growth: float = 1.0, floor: float = 0.0, cap: float = CAP, seed: int = 42, key: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], growth: float = 1.0, floor: float = 0.0, cap: float = CAP, seed: int = 42, key: tuple[str, ...] = (), fit_on: DataFrame | None = None) -> DataFrame:
     """doc_id, key (long columns of docs), n_tokens, the posterior of each domain (p_<name>), rate, copies.
 
-    domains: doc_id and domain of labelled rows; targets: the share of tokens that each domain is to have, scaled to a
+    domains: doc_id and domain of labelled rows, whose texts are read from fit_on, or else from docs; targets: the share of tokens that each domain is to have, scaled to a
     sum of 1; the mixture is to have growth times the tokens of docs. copies is the rate rounded up or down at random,
     by a hash of the id and key, so that its expectation is the rate. Where the targets are out of reach within floor and cap,
     the rates are those of the least squares. Null texts have no tokens and count for nothing; rows of equal text and
@@ -174,7 +174,7 @@ def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], growth:
     """
     names = tuple(sorted(targets))
     rows = texts(docs, key=key)
-    model = fit_classifier(rows, domains.where(F.col("domain").isin(*names)), names)
+    model = fit_classifier(rows if fit_on is None else texts(fit_on), domains.where(F.col("domain").isin(*names)), names)
     members = cut(memberships(rows, model, key))
     size = members.agg(F.sum("n_tokens")).first()[0] or 0
     share = np.array([targets[n] for n in names], float)

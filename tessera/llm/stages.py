@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import byte_bpe, exact_dedup, mixing, quality_rules, simhash
-from .common import BROADCAST_IDS, ROW, cut, kept_rows, with_row
+from .common import BROADCAST_IDS, ROW, cut, documents, kept_rows, with_row
 
 #: Shares of tokens that the pipeline aims at, the tokens to have, and the least and greatest rate of a document.
 PIPELINE_TARGETS = {"good": 0.86, "poor": 0.02, "toxic": 0.12}
@@ -33,10 +33,13 @@ def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row, and again for rows whose rate calls for more copies; none is dropped, as the least rate is 1."""
+    """Every row, and again for rows whose rate calls for more copies; none is dropped, as the least rate is 1.
+
+    The classifier is fitted on the labelled rows of the whole documents table, not only on those that earlier stages left.
+    """
     known = mixing.labelled(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rows = with_row(docs)
-    rates = mixing.mix(rows, known, PIPELINE_TARGETS, PIPELINE_GROWTH, PIPELINE_FLOOR, PIPELINE_CAP, key=ROW)
+    rates = mixing.mix(rows, known, PIPELINE_TARGETS, PIPELINE_GROWTH, PIPELINE_FLOOR, PIPELINE_CAP, key=ROW, fit_on=documents(spark, sf_dir))
     more = cut(rates.where("copies > 1").groupBy(*ROW).agg(F.first("copies").alias("__copies")))
     side = F.broadcast(more) if more.count() <= BROADCAST_IDS else more
     times = F.explode(F.sequence(F.lit(1), F.coalesce("__copies", F.lit(1))))

@@ -66,3 +66,16 @@ def test_mixing_rounds_rows_of_one_id_apart(spark, tmp_path, monkeypatch):
     docs = table(spark, [(None, t) for t in some(200, 60, 6)])
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert 250 < stages.mixed(spark, docs, str(tmp_path)).count() < 350
+
+
+def test_mixing_learns_from_rows_that_earlier_stages_dropped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stages, "PIPELINE_TARGETS", {"good": 0.1, "poor": 0.9, "toxic": 0.0})
+    monkeypatch.setattr(stages, "PIPELINE_GROWTH", 2.0)
+    good, poor = some(60, 60, 8), [t.replace(" ", " buy ") for t in some(60, 60, 9)]
+    rows = [*enumerate(good), *enumerate(poor, 100)]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 100), 0) for i, _ in rows if i % 2 == 0], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = table(spark, [r for r in rows if r[0] % 2])  # none of them is labelled
+    got = counted(stages.mixed(spark, left, str(tmp_path)))
+    of = lambda low, high: sum(n for (i, _), n in got.items() if low <= i < high)
+    assert of(100, 200) > 1.2 * of(0, 100)
