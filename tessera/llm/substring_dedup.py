@@ -26,81 +26,43 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, documents, texts
+from .words import MIX_1, MIX_2, U, Words, chunks, mix
 
 WINDOW = 20
 ANCHOR_WORDS = 4
 ROUNDS = 6
 MAX_BITS = 1 << 30
-CHUNK_WORDS = 200_000
-CACHE_WORDS = 300_000
-U = np.uint64
-MIX_1, MIX_2, MIX_3, BASE_1, BASE_2 = (U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser."""
-    x = (x ^ (x >> U(30))) * MIX_2
-    x = (x ^ (x >> U(27))) * MIX_3
-    return x ^ (x >> U(31))
+CHUNK_CHARS = 1_000_000
+BASE_1, BASE_2 = U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)
 
 
 def pair_name(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * MIX_1 + mix(b + MIX_1))
 
 
-class Words:
-    """Word -> two 64-bit hashes, cached."""
-
-    def __init__(self):
-        self.seen: dict[bytes, int] = {}
-        self.one, self.two = np.zeros(1 << 16, U), np.zeros(1 << 16, U)
-
-    def hashes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.seen) > CACHE_WORDS:
-            self.__init__()
-        seen = self.seen
-        new = [w for w in set(words) if w not in seen]
-        need = len(seen) + len(new)
-        if need > len(self.one):
-            self.one, self.two = (np.concatenate((x, np.zeros(need, U))) for x in (self.one, self.two))
-        for w in new:
-            k = seen[w] = len(seen)
-            h = xxhash.xxh3_128_intdigest(w)
-            self.one[k], self.two[k] = h >> 64, h & 0xFFFFFFFFFFFFFFFF
-        at = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
-        return self.one[at], self.two[at]
-
-
 class Chunk:
-    """Words of some texts in one row of positions, with a separator after each text."""
+    """Words of some texts (strings, or lists of words) in one row of positions, with a separator after each text."""
 
-    def __init__(self, split: list[list[bytes]], words: Words):
-        self.sizes = np.array([len(s) for s in split])
+    def __init__(self, some: list, words: Words, second: bool = True):
+        words.read([t if isinstance(t, str) else b" ".join(t).decode("utf-8", "surrogatepass") for t in some])
+        self.sizes = words.sizes
         self.ends = np.cumsum(self.sizes + 1) - 1
         self.begins = self.ends - self.sizes
-        flat: list[bytes] = []
-        for s in split:
-            flat += s
-        one, two = words.hashes(flat)
         n = int(self.ends[-1]) + 1
         self.real = np.ones(n, bool)
         self.real[self.ends] = False
-        self.one, self.two = np.zeros(n, U), np.zeros(n, U)
-        self.one[self.real], self.two[self.real] = one, two
+        self.one, self.two = np.zeros(n, U), np.zeros(n if second else 0, U)
+        self.one[self.real] = words.hashes()
+        if second:
+            self.two[self.real] = words.hashes(True)
 
     def starts(self, window: int) -> np.ndarray:
         """Whether a window starts at each position."""
-        n = len(self.real)
-        ok = np.zeros(n + 1, np.int32)
-        lo, hi = self.begins, np.maximum(self.begins, self.ends - window + 1)
-        np.add.at(ok, lo, 1)
-        np.add.at(ok, hi, -1)
-        return np.cumsum(ok[:-1]) > 0
+        return cover(len(self.real), self.begins, np.maximum(self.begins, self.ends - window + 1))
 
     def window_hash(self, at: np.ndarray, window: int, second: bool = False) -> np.ndarray:
         h, base, out = (self.two, BASE_2, np.zeros(len(at), U)) if second else (self.one, BASE_1, np.zeros(len(at), U))
@@ -120,7 +82,8 @@ def anchors(chunk: Chunk, window: int, least: int = ANCHOR_WORDS, rounds: int =
     name, solid, lo = name[first], solid[first], first
     hi = lo + size
     name = np.where(size > 1, pair_name(name, size.astype(U)), name)
-    dep_lo, dep_hi = np.maximum(lo - 1, 0), np.minimum(hi + 1, n)  # maximal runs depend on their neighbours
+    # maximal runs depend on their neighbours; what depends on the place before the first word lies in no window
+    dep_lo, dep_hi = lo - 1, np.minimum(hi + 1, n)
     got = [(name[k], dep_lo[k], dep_hi[k]) for k in [solid & (size >= least)]]
     for r in range(rounds):
         live = len(name)
@@ -173,18 +136,10 @@ def named_windows(chunk: Chunk, window: int):
 
 
 def _chunks(batch: pd.DataFrame):
-    """(doc ids, lists of words) of bounded size."""
-    ids, some, n = [], [], 0
-    for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
-        words = text.encode("utf-8", "surrogatepass").split()
-        ids.append(doc_id)
-        some.append(words)
-        n += len(words)
-        if n >= CHUNK_WORDS:
-            yield np.array(ids, np.int64), some
-            ids, some, n = [], [], 0
-    if ids:
-        yield np.array(ids, np.int64), some
+    """(rows of the batch, their texts) of bounded size."""
+    some = batch["text"].tolist()
+    for a, b in chunks(some, CHUNK_CHARS):
+        yield slice(a, b), some[a:b]
 
 
 def bitmap(keys: DataFrame, bits_each: int, most: int = MAX_BITS) -> np.ndarray:
@@ -216,7 +171,7 @@ def repeated_names(rows: DataFrame, window: int) -> DataFrame:
         words = Words()
         for batch in batches:
             for _, some in _chunks(batch):
-                chunk = Chunk(some, words)
+                chunk = Chunk(some, words, False)
                 name, _, _, _, bare = named_windows(chunk, window)
                 name, n = np.unique(np.concatenate((name, chunk.window_hash(bare, window))), return_counts=True)
                 yield pd.DataFrame({"name": name.view(np.int64), "n": n})
@@ -225,14 +180,22 @@ def repeated_names(rows: DataFrame, window: int) -> DataFrame:
 
 
 def repeats(rows: DataFrame, window: int, most: int = MAX_BITS) -> DataFrame:
-    """doc_id and ranges of words (a flat array of from, to) to remove, of documents that have any."""
+    """doc_id, sub and ranges of words (a flat array of from, to) to remove, of documents that have any.
+
+    Documents are ordered by doc_id, and by sub, a hash of the text, where texts share an id.
+    """
     spark = rows.sparkSession
+    order = F.col("doc_id")
+    if not rows.select("doc_id", "sub").groupBy("doc_id").agg(F.min("sub").alias("a"), F.max("sub").alias("b")).where("a <> b").isEmpty():
+        wide = lambda c: c.cast("decimal(19,0)")
+        order = wide(order) * wide(F.lit(1 << 62)) + wide(F.shiftrightunsigned("sub", 2))
     held = spark.sparkContext.broadcast(bitmap(repeated_names(rows, window), 32, most))
 
     def run(batches):
         words = Words()
         for batch in batches:
-            for ids, some in _chunks(batch):
+            for part, some in _chunks(batch):
+                ids, subs = batch["doc_id"].to_numpy()[part], batch["sub"].to_numpy()[part]
                 chunk = Chunk(some, words)
                 name, a, b, valid, bare = named_windows(chunk, window)
                 out = ~has(held.value, name)
@@ -250,30 +213,35 @@ def repeats(rows: DataFrame, window: int, most: int = MAX_BITS) -> DataFrame:
                 edge = np.flatnonzero(np.append(True, np.diff(at) > 1))
                 stop = np.append(at[edge[1:] - 1], at[-1])
                 d, s = doc[edge], at[edge]
-                yield pd.DataFrame({"h1": h[k].view(np.int64), "h2": chunk.window_hash(at[k], window, True).view(np.int64), "last": np.full(len(k), -1), "doc_id": ids[doc[k]], "start": at[k] - chunk.begins[doc[k]]})
-                yield pd.DataFrame({"h1": ids[d], "h2": s - chunk.begins[d], "last": stop - chunk.begins[d], "doc_id": ids[d], "start": s - chunk.begins[d]})
+                own = np.full(len(k), -1)
+                yield pd.DataFrame({"h1": h[k].view(np.int64), "h2": chunk.window_hash(at[k], window, True).view(np.int64), "run": own, "doc_id": ids[doc[k]], "sub": subs[doc[k]], "start": at[k] - chunk.begins[doc[k]]})
+                begin, last = s - chunk.begins[d], stop - chunk.begins[d]
+                yield pd.DataFrame({"h1": ids[d], "h2": subs[d], "run": (begin << 32) + last, "doc_id": ids[d], "sub": subs[d], "start": begin})
 
-    found = rows.mapInPandas(run, "h1 long, h2 long, last long, doc_id long, start long")
-    firsts = found.groupBy("h1", "h2", "last").agg(F.min("doc_id").alias("doc_id"), F.min_by("start", "doc_id").alias("start"))
-    of_doc = firsts.groupBy("doc_id").agg(F.collect_list(F.when(F.col("last") < 0, F.col("start"))).alias("firsts"), F.collect_list(F.when(F.col("last") >= 0, F.struct("start", "last"))).alias("runs"))
-    of_doc = of_doc.select("doc_id", "firsts", F.col("runs.start").alias("a"), F.col("runs.last").alias("b"))
+    # a window (run: -1) with its first start, or a document's run of candidates, whose bounds are in run
+    found = rows.mapInPandas(run, "h1 long, h2 long, run long, doc_id long, sub long, start long")
+    firsts = found.groupBy("h1", "h2", "run").agg(F.min("doc_id").alias("doc_id"), F.min_by("sub", order).alias("sub"), F.min_by("start", order).alias("start"))
+    of_doc = firsts.groupBy("doc_id", "sub").agg(F.collect_list(F.when(F.col("run") < 0, F.col("start"))).alias("firsts"), F.collect_list(F.when(F.col("run") >= 0, F.col("run"))).alias("runs"))
 
     def ranges(batches):
         for batch in batches:
-            ids, out = [], []
-            for doc_id, firsts, a, b in zip(batch["doc_id"], batch["firsts"], batch["a"], batch["b"]):
-                n = int(b.max()) + 1
-                again = cover(n, np.asarray(a), np.asarray(b) + 1)
+            ids, subs, out = [], [], []
+            for doc_id, sub, firsts, runs in zip(batch["doc_id"], batch["sub"], batch["firsts"], batch["runs"]):
+                runs = np.asarray(runs, np.int64)
+                a, b = runs >> 32, (runs & 0xFFFFFFFF) + 1
+                n = int(b.max())
+                again = cover(n, a, b)
                 again[np.asarray(firsts, np.int64)] = False
                 at = np.flatnonzero(again)
                 if len(at):
                     gone = cover(n + window, at, at + window).astype(np.int8)
                     step = np.diff(np.concatenate(([0], gone, [0])))
                     ids.append(doc_id)
+                    subs.append(sub)
                     out.append(np.stack((np.flatnonzero(step == 1), np.flatnonzero(step == -1)), 1).reshape(-1))
-            yield pd.DataFrame({"doc_id": ids, "ranges": out})
+            yield pd.DataFrame({"doc_id": ids, "sub": subs, "ranges": out})
 
-    return cut(of_doc.mapInPandas(ranges, "doc_id long, ranges array<long>"))
+    return cut(of_doc.mapInPandas(ranges, "doc_id long, sub long, ranges array<long>"))
 
 
 def _kept(words: list[bytes], ranges) -> list[bytes]:
@@ -292,12 +260,13 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = Fa
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256, and with with_text the kept text.
 
     A word goes if a window of `window` words covers it whose sequence starts earlier too, in a smaller doc_id or in the
-    same text. Null text has no words; texts shorter than a window lose nothing; an empty table gives no rows. doc_id is
-    taken to be unique: rows that share an id are searched as one, so repeats between them are left in place.
+    same text. Null text has no words; texts shorter than a window lose nothing; an empty table gives no rows. Different
+    texts that share a doc_id (null ids among them) are documents of their own, in the order of a hash of the text; rows
+    of equal id and text are one document, and get the same result.
     """
-    rows = texts(docs)
+    rows = texts(docs).withColumn("sub", F.xxhash64("text"))
     gone = repeats(rows, window, most)
-    touched = rows.sparkSession.sparkContext.broadcast(bitmap(gone.select(F.xxhash64("doc_id")), 16, 1 << 26))
+    touched = rows.sparkSession.sparkContext.broadcast(bitmap(gone.select(F.xxhash64("doc_id", "sub")), 16, 1 << 26))
     result = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     columns = [x.split()[0] for x in result.split(", ")]
 
@@ -312,7 +281,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = Fa
             for doc_id, text, o in zip(b["doc_id"].tolist(), b["text"].tolist(), open_):
                 words = None if o else text.encode("utf-8", "surrogatepass").split()
                 out.append([doc_id, *[None] * (len(columns) - 1), text] if o else [*row(doc_id, words, words), None])
-            yield pd.DataFrame(out, columns=[*columns, "text"])
+            got = pd.DataFrame(out, columns=[*columns, "text"])
+            got.insert(1, "sub", b["sub"].to_numpy())
+            yield got
 
     def second(batches):
         for b in batches:
@@ -323,8 +294,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = Fa
                 out.iloc[i] = row(b["doc_id"].iat[i], words, _kept(words, [] if ranges is None else ranges))
             yield out
 
-    begun = rows.select("doc_id", "text", F.xxhash64("doc_id").alias("key")).mapInPandas(first, f"{result}, text string")
-    return begun.join(gone, "doc_id", "left").mapInPandas(second, result)
+    begun = rows.withColumn("key", F.xxhash64("doc_id", "sub")).mapInPandas(first, result.replace("doc_id long", "doc_id long, sub long") + ", text string")
+    return begun.join(gone, ["doc_id", "sub"], "left").mapInPandas(second, result)
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -79,3 +79,29 @@ def test_mixing_learns_from_rows_that_earlier_stages_dropped(spark, tmp_path, mo
     got = counted(stages.mixed(spark, left, str(tmp_path)))
     of = lambda low, high: sum(n for (i, _), n in got.items() if low <= i < high)
     assert of(100, 200) > 1.2 * of(0, 100)
+
+
+def test_substrings_of_rows_that_share_an_id(spark):
+    import hashlib
+
+    from tessera.llm import substring_dedup
+
+    sha = lambda words: hashlib.sha256(" ".join(words).encode()).hexdigest()
+    shared = [f"s{k}" for k in range(30)]
+    first, second = [f"a{k}" for k in range(40)], [f"b{k}" for k in range(50)]
+    rows = [(1, " ".join(shared)), (2, " ".join([*shared, "x", "y", "z"])), (2, " ".join(second)), (None, " ".join(first)), (None, " ".join(second)), (None, None), (7, " ".join(shared[:25])), (7, " ".join(shared[:25]))]
+    got = Counter((r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup_substrings(table(spark, rows).repartition(4)).collect())
+    # a null id is the smallest one, so second's words stay there; rows of equal id and text are one document
+    assert got == Counter([(30, 0, sha(shared)), (33, 30, sha("xyz")), (50, 50, sha([])), (40, 0, sha(first)), (50, 0, sha(second)), (0, 0, sha([])), (25, 25, sha([])), (25, 25, sha([]))])
+
+
+def test_substrings_do_not_depend_on_where_a_chunk_begins(spark, monkeypatch):
+    from tessera.llm import substring_dedup
+
+    rng = random.Random(21)
+    passages = [prose(rng, 20).split() for _ in range(60)]
+    rows = [(k, " ".join(p)) for k, p in enumerate(passages)] + [(100 + k, " ".join([*prose(rng, 9).split(), *p, "end"])) for k, p in enumerate(passages)]
+    for chars in (1, 10**6):  # every text at a chunk's start, or only the first one of a batch
+        monkeypatch.setattr(substring_dedup, "CHUNK_CHARS", chars)
+        got = {r.doc_id: r.n_removed for r in substring_dedup.dedup_substrings(table(spark, rows).coalesce(1)).collect()}
+        assert got == {k: 0 if k < 100 else 20 for k, _ in rows}
