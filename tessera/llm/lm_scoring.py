@@ -1,10 +1,14 @@
 """LM scoring by masked pseudo-likelihood.
 
-A bidirectional window network, written and trained in numpy, predicts every word from the two words on each side. The
-vocabulary and all word counts come from a distributed count over every document. Words fall into classes: the most
-frequent words are classes of their own, the others are hashed into the rest. The network predicts the class of the
-masked word from its neighbours' classes; within the class, words follow their corpus counts, with the mass of rare
-words shared evenly among them. A document's score is the sum of log P(class | both sides) + log P(word | class).
+A bidirectional window network, written and trained in numpy, predicts every word from the two words on each side, on
+two levels. The most frequent words are classes of their own, all others are hashed into HASHED more classes; the first
+softmax gives the class. Inside a hashed class, a second softmax over its MEMBERS most frequent words and one entry for
+its other words gives the word; the other words share that entry by their corpus counts. A document's score is the sum
+of log P(class | both sides) + log P(member | class, both sides) + log P(word | class, other).
+
+Every word has its own corpus count, however rare. Words are 64-bit hashes; the counts of all documents stay a
+distributed table. The VOCABULARY most frequent words, a bounded table, go to the tasks; of all others, each document
+gives its words to a join with the counts, and words that occur once need no partner there.
 
 Training covers every document once: in round r, each task takes the documents of its partition with hash r, runs
 minibatch Adam from the shared weights, and returns its weights; their mean, weighted by words, starts the next round.
@@ -14,147 +18,231 @@ what is counted and trained on grows with the corpus.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, texts
+from .common import cut, documents, texts
+from .words import U, Words, chunks, hash_of
 
-OWN, HASHED = 96, 32
+OWN, HASHED = 32, 32
 CLASSES = OWN + HASHED
 PAD = CLASSES
-WIDTH = 16
+#: Words of a hashed class that the network tells apart; one more entry stands for its other words.
+MEMBERS = 95
+REST = MEMBERS
+WIDTH = 24
 SIDES = (-2, -1, 1, 2)
-#: Words with counts of their own; about 2 MB with their counts.
-VOCABULARY = 30_000
+#: Words whose counts go to the tasks, 16 bytes each and a table of 4 bytes by 4.
+VOCABULARY = 1 << 17
 ROUNDS = 3
 BATCH = 2_048
+#: Words that are scored at a time, so that their logits stay in the processor's cache.
+BLOCK = 2_048
 RATE = 0.01
-CHUNK_WORDS = 100_000
+CHUNK_CHARS = 1_000_000
 SLOTS = 64
-SHAPES = [(len(SIDES), CLASSES + 1, WIDTH), (WIDTH,), (WIDTH, CLASSES), (CLASSES,)]
+SHAPES = [(len(SIDES), CLASSES + 1, WIDTH), (WIDTH,), (WIDTH, CLASSES), (CLASSES,), (HASHED, MEMBERS + 1, WIDTH), (HASHED, MEMBERS + 1)]
+
+
+def slots(hashes: np.ndarray) -> np.ndarray:
+    """The hash class of each word."""
+    return ((hashes >> U(32)) % U(HASHED)).astype(np.int64)
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """word, slot (its hash class) and n over the whole corpus."""
+    """word (its hash as a long), slot and n over the whole corpus."""
 
     def run(batches):
+        words = Words()
         for b in batches:
-            seen: Counter = Counter()
-            for t in b["text"].tolist():
-                seen.update(t.split())
-            words = list(seen)
-            yield pd.DataFrame({"word": words, "slot": [slot(w) for w in words], "n": list(seen.values())})
-
-    return rows.mapInPandas(run, "word string, slot int, n long").groupBy("word", "slot").agg(F.sum("n").alias("n"))
+            some = b["text"].tolist()
+            for i, j in chunks(some, CHUNK_CHARS):
+                words.read(some[i:j])
+                word, n = np.unique(words.hashes(), return_counts=True)
+                yield pd.DataFrame({"word": word.view(np.int64), "slot": slots(word), "n": n})
 
+    return rows.mapInPandas(run, "word long, slot long, n long").groupBy("word", "slot").agg(F.sum("n").alias("n"))
 
-def slot(word: str) -> int:
-    return xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) % HASHED
 
+class Vocabulary:
+    """Class, member and log P(word | class, other) of any words, and the counts of the known ones."""
+
+    def __init__(self, top, by_slot: dict[int, tuple[int, int]]):
+        """top: words (or their hashes) and counts by falling count; by_slot: count and number of all words of each hash class."""
+        self.hashes = np.array([hash_of([w])[0] if isinstance(w, str) else w for w, _ in top], U)
+        self.n = np.array([n for _, n in top], np.int64)
+        v, slot = len(self.hashes), slots(self.hashes)
+        total = np.zeros(HASHED)
+        for s, (n, _) in by_slot.items():
+            total[s] = n
+        own = np.arange(v) < OWN
+        np.subtract.at(total, slot[own], self.n[own])
+        order = np.argsort(np.where(own, -1, slot), kind="stable")
+        s = np.where(own, -1, slot)[order]
+        rank = np.empty(v, np.int64)  # of a word among the hashed words of its class
+        rank[order] = np.arange(v) - np.searchsorted(s, s)
+        self.member = np.where(own, REST, np.minimum(rank, REST))
+        self.classes = np.where(own, np.arange(v), OWN + slot)
+        inside = ~own & (self.member < REST)
+        shared = total.copy()
+        np.subtract.at(shared, slot[inside], self.n[inside])
+        self.shared = np.log(np.maximum(shared, 1.0))  # log count of the other words of each class
+        self.inner = np.where(own | inside, 0.0, np.log(np.maximum(self.n, 1)) - self.shared[slot])
+        # where the network starts: the counts
+        self.base = np.log(np.concatenate((np.resize(self.n[:OWN], OWN) if v else np.ones(OWN), np.maximum(total, 1.0))).clip(1))
+        self.members = np.zeros((HASHED, MEMBERS + 1))
+        self.members[slot[inside], self.member[inside]] = np.log(np.maximum(self.n[inside], 1))
+        self.members[:, REST] = self.shared
+        self._fill()
+
+    def _fill(self):
+        """An open-addressed table from hashes to rows, -1 where empty."""
+        size = 1 << max(4, (4 * len(self.hashes)).bit_length())
+        self.mask, self.table = U(size - 1), np.full(size, -1, np.int32)
+        left, at = np.arange(len(self.hashes), dtype=np.int32), (self.hashes & self.mask).astype(np.int64)
+        while len(left):
+            free = self.table[at] < 0
+            self.table[at[free]] = left[free]  # of rows that meet here, one stays
+            placed = self.table[at] == left
+            left, at = left[~placed], (at[~placed] + 1) & int(self.mask)
+
+    def lookup(self, h: np.ndarray) -> np.ndarray:
+        """The row of each word, or -1."""
+        out = np.full(len(h), -1, np.int64)
+        at, open_ = (h & self.mask).astype(np.int64), np.arange(len(h))
+        while len(open_):
+            row = self.table[at]
+            hit = (row >= 0) & (self.hashes[row] == h[open_] if len(self.hashes) else False)
+            out[open_[hit]] = row[hit]
+            go = (row >= 0) & ~hit
+            open_, at = open_[go], (at[go] + 1) & int(self.mask)
+        return out
 
-class _Rows(dict):
-    """Word -> row of the vocabulary; other words get the row of their hash class, and are remembered for one chunk."""
-
-    def __init__(self, known: dict[str, int]):
-        super().__init__()
-        self.known = known
-
-    def __missing__(self, word: str) -> int:
-        row = self.known.get(word)
-        if row is None:
-            row = len(self.known) + slot(word)
-        self[word] = row
-        return row
+    def start(self, seed: int = 11) -> np.ndarray:
+        """Weights of a network that knows the counts only."""
+        net = Network(seed=seed)
+        net.base[:] = self.base - self.base.mean()
+        net.inner[:] = 0
+        net.shift[:] = self.members - self.members.max(1, keepdims=True)
+        return net.flat
 
 
-class Vocabulary:
-    """Class and log P(word | class) of any word."""
-
-    def __init__(self, top: list[tuple[str, int]], by_slot: dict[int, tuple[int, int]]):
-        """top: words and counts by falling count; by_slot: count and number of all words of each hash class."""
-        self.known: dict[str, tuple[int, float]] = {}
-        total = {s: [n + 1.0, k] for s, (n, k) in by_slot.items()}
-        for w, n in top[:OWN]:
-            self.known[w] = (len(self.known), 0.0)
-            t = total[slot(w)]
-            t[0], t[1] = t[0] - n, t[1] - 1
-        rare = {s: [t[0], t[1]] for s, t in total.items()}
-        for w, n in top[OWN:]:
-            s = slot(w)
-            self.known[w] = (OWN + s, float(np.log(n / total[s][0])))
-            rare[s] = [rare[s][0] - n, rare[s][1] - 1]
-        rest = [(OWN + s, float(np.log(max(rare[s][0], 1.0) / total[s][0] / max(rare[s][1], 1))) if s in rare else 0.0) for s in range(HASHED)]
-        rows = [*self.known.values(), *rest]
-        self.classes, self.inner = np.array([c for c, _ in rows], np.int64), np.array([p for _, p in rows])
-        self.row = {w: i for i, w in enumerate(self.known)}
-
-    def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.fromiter(map(_Rows(self.row).__getitem__, words), np.int64, len(words))
-        return self.classes[at], self.inner[at]
-
-
-def fit_vocabulary(rows: DataFrame) -> Vocabulary:
-    from .common import cut
-
-    counts = cut(word_counts(rows))
+def fit_vocabulary(counts: DataFrame) -> Vocabulary:
     size = F.floor(F.log2("n") * 8)  # only words of the sizes that can be among the most frequent go to the driver
     least, found = 0, 0
     for r in sorted(counts.groupBy(size.alias("size")).agg(F.count("*").alias("words")).collect(), reverse=True):
         least, found = r["size"], found + r["words"]
         if found >= VOCABULARY:
             break
-    top = [(r[0], r[1]) for r in counts.where(size >= least).orderBy(F.desc("n"), "word").limit(VOCABULARY).select("word", "n").collect()]
+    top = counts.where(size >= least).orderBy(F.desc("n"), "word").limit(VOCABULARY).select("word", "n").toPandas()
     by_slot = {r[0]: (r[1], r[2]) for r in counts.groupBy("slot").agg(F.sum("n"), F.count("*")).collect()}
-    return Vocabulary(top, by_slot)
+    return Vocabulary(list(zip(top["word"].to_numpy(np.int64).view(U), top["n"])), by_slot)
 
 
 class Network:
-    """tanh of summed position-wise class embeddings, then a softmax over classes."""
+    """tanh of summed position-wise class embeddings, then a softmax over classes, and one over the members of a hashed class."""
 
     def __init__(self, weights: np.ndarray | None = None, seed: int = 11):
         if weights is None:
             rng = np.random.default_rng(seed)
             weights = np.concatenate([rng.normal(0, 0.1, np.prod(s)) if len(s) > 1 else np.zeros(s) for s in SHAPES])
-        self.flat = weights.astype(np.float32)
+        self._lay(weights.astype(np.float32))
+
+    def _lay(self, flat: np.ndarray):
+        self.flat = flat
         parts = np.split(self.flat, np.cumsum([int(np.prod(s)) for s in SHAPES])[:-1])
-        self.near, self.bias, self.out, self.base = (p.reshape(s) for p, s in zip(parts, SHAPES))
+        self.near, self.bias, self.out, self.base, self.inner, self.shift = (p.reshape(s) for p, s in zip(parts, SHAPES))
 
     def hidden(self, sides: np.ndarray) -> np.ndarray:
-        return np.tanh(sum(self.near[k][sides[k]] for k in range(len(SIDES))) + self.bias)
+        h = self.near[0].take(sides[0], 0)
+        for k in range(1, len(SIDES)):
+            h += self.near[k].take(sides[k], 0)
+        h += self.bias
+        return np.tanh(h, out=h)
+
+    @staticmethod
+    def _tame(z: np.ndarray, weights: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """z as it is where its bound lets exp stay finite (hidden states lie within 1), else less its row's maximum."""
+        if len(z) and np.abs(weights).sum(0).max() + np.abs(offsets).max() > 60:
+            z -= z.max(1, keepdims=True)
+        return z
 
     def logits(self, h: np.ndarray) -> np.ndarray:
-        """Logits less their row's maximum."""
+        """Logits that exp takes."""
         z = h @ self.out
         z += self.base
-        z -= z.max(1, keepdims=True)
-        return z
-
-    def score(self, sides: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """log P of each class given its sides."""
+        return self._tame(z, self.out, self.base)
+
+    def _inside(self, h: np.ndarray, y: np.ndarray):
+        """The words of hashed classes, for y in order: the first one, bounds of each class from there, hidden states, logits of members."""
+        bounds = np.searchsorted(y, np.arange(OWN, CLASSES + 1))
+        first, bounds = int(bounds[0]), (bounds - bounds[0]).tolist()
+        own = h[first:]
+        z = np.empty((len(own), MEMBERS + 1), np.float32)
+        for c, (i, j) in enumerate(zip(bounds, bounds[1:])):
+            np.dot(own[i:j], self.inner[c].T, out=z[i:j])
+            z[i:j] += self.shift[c]
+        return first, bounds, own, self._tame(z, self.inner.reshape(-1, WIDTH).T, self.shift)
+
+    def score(self, sides: np.ndarray, y: np.ndarray, member: np.ndarray | None = None) -> np.ndarray:
+        """log P of each class given its sides, and with member that of the member of a hashed class as well."""
         out = np.empty(len(y))
-        for i in range(0, len(y), BATCH):
-            z = self.logits(self.hidden(sides[:, i : i + BATCH]))
-            own = z[np.arange(len(z)), y[i : i + BATCH]]
-            out[i : i + BATCH] = own - np.log(np.exp(z, out=z).sum(1))
+        for i in range(0, len(y), BLOCK):
+            at = i + by_class(y[i : i + BLOCK])
+            h, own = self.hidden(sides[:, at]), y[at]
+            z = self.logits(h)
+            p = z[np.arange(len(z)), own]
+            p -= np.log(np.exp(z, out=z).sum(1))
+            if member is not None:
+                first, _, _, z = self._inside(h, own)
+                p[first:] += z[np.arange(len(z)), member[at[first:]]]
+                p[first:] -= np.log(np.exp(z, out=z).sum(1))
+            out[at] = p
         return out
 
-    def gradient(self, sides: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def gradient(self, sides: np.ndarray, y: np.ndarray, member: np.ndarray | None = None) -> np.ndarray:
+        """The gradient of the mean of -score, in the order of flat."""
+        n = len(y)
+        if (y[1:] < y[:-1]).any():
+            at = by_class(y)
+            sides, y, member = sides[:, at], y[at], None if member is None else member[at]
+        got = Network.__new__(Network)
+        got._lay(np.zeros_like(self.flat))
         h = self.hidden(sides)
         g = self.logits(h)
         np.exp(g, out=g)
-        g /= g.sum(1, keepdims=True) * len(y)
-        g[np.arange(len(y)), y] -= 1 / len(y)
-        back = (g @ self.out.T) * (1 - h * h)
-        near = np.zeros(SHAPES[0], np.float32)
-        for k in range(len(SIDES)):
-            for j in range(WIDTH):
-                near[k, :, j] = np.bincount(sides[k], weights=back[:, j], minlength=CLASSES + 1)
-        return np.concatenate((near.ravel(), back.sum(0), (h.T @ g).ravel(), g.sum(0)))
+        g *= (1 / n) / g.sum(1, keepdims=True)
+        g[np.arange(n), y] -= np.float32(1 / n)
+        back = g @ self.out.T
+        np.dot(h.T, g, out=got.out)
+        g.sum(0, out=got.base)
+        if member is not None:
+            first, bounds, own, z = self._inside(h, y)
+            np.exp(z, out=z)
+            z *= (1 / n) / z.sum(1, keepdims=True)
+            z[np.arange(len(z)), member[first:]] -= np.float32(1 / n)
+            down = np.empty_like(own)
+            for c, (i, j) in enumerate(zip(bounds, bounds[1:])):
+                np.dot(z[i:j].T, own[i:j], out=got.inner[c])
+                z[i:j].sum(0, out=got.shift[c])
+                np.dot(z[i:j], self.inner[c], out=down[i:j])
+            back[first:] += down
+        h *= h
+        back *= 1 - h
+        for k, side in enumerate(sides):
+            order = by_class(side)
+            side = side[order]
+            first = np.flatnonzero(np.append(True, side[1:] != side[:-1]))
+            got.near[k, side[first]] = np.add.reduceat(back.take(order, 0), first)
+        back.sum(0, out=got.bias)
+        return got.flat
+
+
+def by_class(y: np.ndarray) -> np.ndarray:
+    """A stable order of small numbers."""
+    return np.argsort(y.astype(np.int16), kind="stable")
 
 
 class Adam:
@@ -163,42 +251,43 @@ class Adam:
 
     def step(self, net: Network, g: np.ndarray):
         self.t += 1
-        self.m += 0.1 * (g - self.m)
-        self.v += 0.01 * (g * g - self.v)
+        self.m += np.float32(0.1) * (g - self.m)
+        g *= g
+        g -= self.v
+        self.v += np.float32(0.01) * g
         rate = RATE * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
-        net.flat -= (rate * self.m / (np.sqrt(self.v) + 1e-8)).astype(np.float32)
-
-
-def examples(some: list[list[str]], vocabulary: Vocabulary):
-    """Neighbours' classes (sides x words), classes and within-class log-probabilities of all words of some texts."""
-    flat = [w for s in some for w in s]
-    y, inner = vocabulary.lookup(flat)
+        np.sqrt(self.v, out=g)
+        g += np.float32(1e-8)
+        np.divide(self.m, g, out=g)
+        net.flat -= np.float32(rate) * g
+
+
+def examples(some: list, vocabulary: Vocabulary, words: Words | None = None):
+    """Neighbours' classes (sides x words), classes and vocabulary rows (or -1) of all words of some texts (or lists of words)."""
+    words = words or Words()
+    words.read([t if isinstance(t, str) else " ".join(t) for t in some])
+    h = words.hashes()
+    row = vocabulary.lookup(h)
+    y = OWN + slots(h)
+    y[row >= 0] = vocabulary.classes[row[row >= 0]]
     gap = max(abs(k) for k in SIDES)
-    sizes = np.array([len(s) for s in some])
-    at = np.arange(len(flat)) + gap * (1 + np.repeat(np.arange(len(some)), sizes))
-    padded = np.full(len(flat) + gap * (len(some) + 1), PAD)
+    at = np.arange(len(h)) + gap * (1 + np.repeat(np.arange(len(some)), words.sizes))
+    padded = np.full(len(h) + gap * (len(some) + 1), PAD)
     padded[at] = y
-    return np.stack([padded[at + k] for k in SIDES]) if len(flat) else np.zeros((len(SIDES), 0), int), y, inner
+    return np.stack([padded[at + k] for k in SIDES]) if len(h) else np.zeros((len(SIDES), 0), int), y, row
 
 
-def _chunks(batch: pd.DataFrame):
-    """(ids, word lists) of bounded size; a text is never cut."""
-    ids, some, n = [], [], 0
-    for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
-        words = text.split()
-        ids.append(doc_id)
-        some.append(words)
-        n += len(words)
-        if n >= CHUNK_WORDS:
-            yield ids, some
-            ids, some, n = [], [], 0
-    if ids:
-        yield ids, some
+def members(row: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+    """The member that each vocabulary row (or -1) stands for in its class."""
+    out = np.full(len(row), REST)
+    known = row >= 0
+    out[known] = vocabulary.member[row[known]]
+    return out
 
 
 def train(rows: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Network:
-    spark, net = rows.sparkSession, Network()
-    words = spark.sparkContext.broadcast(vocabulary)
+    spark, net = rows.sparkSession, Network(vocabulary.start())
+    held = spark.sparkContext.broadcast(vocabulary)
     for r in range(rounds):
         start = net.flat.copy()
 
@@ -206,14 +295,17 @@ def train(rows: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Netw
             from pyspark import TaskContext
 
             own, adam, n = Network(start), Adam(len(start)), 0  # noqa: B023
-            rng = np.random.default_rng(5)
+            rng, words = np.random.default_rng(5), Words()
             for b in batches:
-                for _, some in _chunks(b):
-                    sides, y, _ = examples(some, words.value)
+                some = b["text"].tolist()
+                for i, j in chunks(some, CHUNK_CHARS):
+                    sides, y, row = examples(some[i:j], held.value, words)
+                    member = members(row, held.value)
                     order = rng.permutation(len(y))
-                    for i in range(0, len(y), BATCH):
-                        k = order[i : i + BATCH]
-                        adam.step(own, own.gradient(sides[:, k], y[k]))
+                    for k in range(0, len(y), BATCH):
+                        k = order[k : k + BATCH]
+                        k = k[by_class(y[k])]
+                        adam.step(own, own.gradient(sides[:, k], y[k], member[k]))
                     n += len(y)
             if n:
                 yield pd.DataFrame({"slot": [TaskContext.get().partitionId() % SLOTS], "n": [n], "w": [(own.flat.astype(np.float64) * n).tobytes()]})
@@ -222,7 +314,7 @@ def train(rows: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Netw
             total = np.sum([np.frombuffer(w) for w in pdf["w"]], axis=0)
             return pd.DataFrame({"n": [int(pdf["n"].sum())], "w": [total.tobytes()]})
 
-        part = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r)
+        part = rows.where(F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(rounds)) == r)
         got = part.mapInPandas(run, "slot int, n long, w binary").groupBy("slot").applyInPandas(add, "n long, w binary").collect()
         if got:
             net = Network(sum(np.frombuffer(g["w"]) for g in got) / sum(g["n"] for g in got))
@@ -230,29 +322,46 @@ def train(rows: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Netw
 
 
 def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, pll (sum of conditional log-probabilities), mean_pll.
+    """One row per row of docs: doc_id, n_tokens, pll (sum of conditional log-probabilities), mean_pll, least_count.
 
-    Null and empty texts have no tokens and scores of 0. An empty table gives no rows. Repeated rows count as often as
-    they occur, in counts and in training.
+    least_count is the corpus count of the document's rarest word (0 without words). Null and empty texts have no tokens
+    and scores of 0. An empty table gives no rows. Repeated rows count as often as they occur, in counts and in training,
+    and get equal scores; so do rows of equal text. Very long texts are read whole, one in a chunk. Words of equal count
+    are ranked by their hash.
     """
     rows = texts(docs)
-    vocabulary = fit_vocabulary(rows)
-    spark = rows.sparkSession
-    held = spark.sparkContext.broadcast((vocabulary, train(rows, vocabulary, rounds).flat))
+    counts = cut(word_counts(rows))
+    vocabulary = fit_vocabulary(counts)
+    held = rows.sparkSession.sparkContext.broadcast((vocabulary, train(rows, vocabulary, rounds).flat))
 
     def run(batches):
-        words, flat = held.value
-        net = Network(flat)
+        known, flat = held.value
+        net, words = Network(flat), Words()
         for b in batches:
-            for ids, some in _chunks(b):
-                sides, y, inner = examples(some, words)
-                sizes = np.array([len(s) for s in some])
-                sums = np.concatenate(([0.0], np.cumsum(net.score(sides, y) + inner)))
-                ends = np.cumsum(sizes)
-                total = np.round(sums[ends] - sums[ends - sizes], 4)
-                yield pd.DataFrame({"doc_id": ids, "n_tokens": sizes, "pll": total, "mean_pll": np.round(total / np.maximum(sizes, 1), 6)})
-
-    return rows.mapInPandas(run, "doc_id long, n_tokens long, pll double, mean_pll double")
+            some = b["text"].tolist()
+            for i, j in chunks(some, CHUNK_CHARS):
+                sides, y, row = examples(some[i:j], known, words)
+                is_known = row >= 0
+                inner = np.where(is_known, 0.0, -known.shared[np.maximum(y - OWN, 0)])
+                inner[is_known] = known.inner[row[is_known]]
+                n = np.full(len(y) + 1, np.iinfo(np.int64).max)
+                n[:-1][is_known] = known.n[row[is_known]]
+                ends = np.cumsum(words.sizes)
+                starts = ends - words.sizes
+                sums = np.concatenate(([0.0], np.cumsum(net.score(sides, y, members(row, known)) + inner)))
+                least = np.where(words.sizes > 0, np.minimum.reduceat(n, starts), 0)
+                rare = words.hashes()[~is_known].view(np.int64)
+                at = np.concatenate(([0], np.cumsum(~is_known)))
+                yield pd.DataFrame({"row": b["row"].to_numpy()[i:j], "doc_id": b["doc_id"].to_numpy()[i:j], "n_tokens": words.sizes, "known": sums[ends] - sums[starts], "least": least, "rare": [rare[x:z] for x, z in zip(at[starts], at[ends])]})
+
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    scored = cut(numbered.mapInPandas(run, "row long, doc_id long, n_tokens long, known double, least long, rare array<long>"))
+    often = counts.where("n > 1").select("word", F.col("n"))
+    rare = scored.select("row", F.explode("rare").alias("word")).join(often, "word", "left")
+    more = rare.groupBy("row").agg(F.sum(F.log(F.coalesce("n", F.lit(1)))).alias("more"), F.min(F.coalesce("n", F.lit(1))).alias("rarest"))
+    pll = F.round(F.col("known") + F.coalesce("more", F.lit(0.0)), 4)
+    joined = scored.drop("rare").join(more, "row", "left").select("doc_id", "n_tokens", pll.alias("pll"), F.least("least", F.coalesce("rarest", "least")).alias("least_count"))
+    return joined.select("doc_id", "n_tokens", "pll", F.round(F.col("pll") / F.greatest("n_tokens", F.lit(1)), 6).alias("mean_pll"), "least_count")
 
 
 def op4_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -254,3 +254,67 @@ def test_belief_propagation_equals_enumeration_on_a_tree():
         for i, k in enumerate(y):
             total[i, k] += np.exp(e)
     assert np.allclose(field.marginals(sig, chain, skip, np.zeros(4, int)), total / total.sum(1, keepdims=True), atol=1e-3)
+
+
+def chain_text(rng, words, n):
+    out = [rng.randrange(len(words))]
+    for _ in range(n - 1):
+        out.append((out[-1] * 7 + rng.choice([1, 2])) % len(words))
+    return " ".join(words[k] for k in out)
+
+
+def test_lm_beats_a_unigram_model(spark):
+    """Also for words that are no classes of their own: 200 words, of which OWN are."""
+    rng = random.Random(31)
+    words = [f"w{k}" for k in range(200)]
+    rows = [(i, chain_text(rng, words, 300)) for i in range(400)]
+    counts = Counter(w for _, t in rows for w in t.split())
+    total = sum(counts.values())
+    got = {r.doc_id: r.pll for r in lm_scoring.pseudo_likelihood(table(spark, rows).coalesce(1)).collect()}
+    unigram = sum(n * np.log(n / total) for n in counts.values())
+    assert sum(got.values()) > 0.9 * unigram
+
+
+def test_lm_probabilities_sum_to_one(spark):
+    """Over all words of a corpus, the probabilities in any one place sum to 1; rare words have their own counts."""
+    rng = random.Random(32)
+    counts = {f"v{k}": 1 + 4000 // (k + 1) for k in range(5000)}
+    by = {}
+    hashes = lm_scoring.hash_of(list(counts))
+    for s, n in zip(lm_scoring.slots(hashes), counts.values()):
+        a, b = by.get(int(s), (0, 0))
+        by[int(s)] = (a + n, b + 1)
+    v = lm_scoring.Vocabulary(sorted(counts.items(), key=lambda x: -x[1])[:3000], by)
+    net = lm_scoring.Network(v.start())
+    net.flat += np.random.default_rng(3).normal(0, 0.2, len(net.flat)).astype(np.float32)
+    side = [rng.choice(list(counts)) for _ in range(2)]
+    total = 0.0
+    sides = np.repeat(lm_scoring.examples([[side[0], "v1", side[1]]], v)[0][:, 1:2], len(counts), 1)
+    row = v.lookup(hashes)
+    y = lm_scoring.OWN + lm_scoring.slots(hashes)
+    y[row >= 0] = v.classes[row[row >= 0]]
+    logp = net.score(sides, y, lm_scoring.members(row, v))
+    for k, (w, n) in enumerate(counts.items()):
+        total += np.exp(logp[k] + (v.inner[row[k]] if row[k] >= 0 else np.log(n) - v.shared[y[k] - lm_scoring.OWN]))
+    assert abs(total - 1) < 1e-3
+
+
+def test_lm_tells_words_that_occur_once(spark):
+    rng = random.Random(33)
+    twin = " ".join(f"rare{k}" for k in range(40))
+    rows = [(i, prose(rng, 200) + f" only{i}") for i in range(30)] + [(100, twin), (101, twin), (102, None)]
+    got = {r.doc_id: r for r in lm_scoring.pseudo_likelihood(table(spark, rows)).collect()}
+    seen = Counter(w for _, t in rows for w in (t or "").split())
+    assert {i: r.least_count for i, r in got.items()} == {i: min((seen[w] for w in (t or "").split()), default=0) for i, t in rows}
+
+
+@pytest.mark.parametrize("size", [3, 40])
+def test_lm_vocabulary_beyond_its_size_changes_nothing_but_members(spark, monkeypatch, size):
+    """Words outside the broadcast table get their counts by the join."""
+    rng = random.Random(34)
+    rows = [(i, prose(rng, 60)) for i in range(40)]
+    want = Counter(w for _, t in rows for w in t.split())
+    monkeypatch.setattr(lm_scoring, "VOCABULARY", size)
+    got = {r.doc_id: r for r in lm_scoring.pseudo_likelihood(table(spark, rows), rounds=1).collect()}
+    assert {i: r.least_count for i, r in got.items()} == {i: min(want[w] for w in t.split()) for i, t in rows}
+    assert all(r.pll < 0 for r in got.values())
