@@ -21,16 +21,18 @@ import sys
 import uuid
 import zlib
 from array import array
-from itertools import chain
+from collections import Counter
+from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
+import regex
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .byte_bpe import CACHE_SLICES, slices
+from .byte_bpe import CACHE_SLICES
 from .common import documents, shared_dir, texts
 
 MAGIC = b"TESSIDS1"
@@ -38,8 +40,8 @@ INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u8"), ("ids
 SAMPLE_DOCS = 2_000
 SAMPLE_CHARS = 4_000
 DICTIONARY_BYTES = 64 * 1024
-LEVEL = 3
-CHUNK_CHARS = 500_000
+LEVEL = 6
+CHUNK_CHARS = 1_000_000
 
 
 def _open(uri: str):
@@ -63,7 +65,21 @@ def _uneven(text: str) -> bool:
     return not text or text[0] == " " or text[-1] == " " or "  " in text or any(c in text and (c + " " in text or " " + c in text) for c in _SPACES)
 
 
+def _byte_chars() -> dict[int, str]:
+    """Byte -> the character that stands for it in a byte-level vocabulary: printable Latin-1 ones for themselves, then from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTE_CHARS = _byte_chars()
+BLANK = BYTE_CHARS[0x20]
+# A fixed value: the byte-level pre-tokeniser's pattern.
+SLICES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+MARKS = (".", ",", ";", ":", "!", "?")
 CACHE_UNITS = 500_000
+#: Units of the first large chunk that are looked up before all others, in a table that fits the processor's cache.
+HOT_UNITS = 8_192
 _encoders: dict = {}
 
 
@@ -79,9 +95,9 @@ def encoder_of(model: str):
 class _Encoder:
     """Serialised ids of whole texts by the tokenizers library.
 
-    Where the model splits texts by the byte-level pattern alone, blank-separated units are looked up first, the slices
-    of unseen units next, and the library gets each unseen slice once; all caches are bounded. Any other model gets the
-    texts themselves.
+    Where the model is BPE behind the byte-level pattern alone, blank-separated units are looked up first, the slices of
+    unseen units next, and the library's model gets each unseen slice; all caches are bounded. As most unseen slices
+    never come again, the model is built without a cache of its own. Any other model gets the texts themselves.
     """
 
     def __init__(self, model: str):
@@ -89,10 +105,18 @@ class _Encoder:
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() < 65_536 else "<u4"
         spec = json.loads(model)
         split = spec.get("pre_tokenizer") or {}
-        self.by_slices = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and all(t["special"] for t in spec.get("added_tokens", [])) and not spec["model"].get("continuing_subword_prefix") and not spec["model"].get("end_of_word_suffix")
+        bpe = spec["model"]
+        plain = bpe.get("type") == "BPE" and not any(bpe.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix", "dropout", "unk_token", "byte_fallback", "ignore_merges"))
+        self.by_slices = plain and spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and all(t["special"] for t in spec.get("added_tokens", []))
+        if self.by_slices:
+            from tokenizers.models import BPE
+
+            pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in bpe["merges"]]
+            self.tokenize = BPE(vocab=bpe["vocab"], merges=pairs, cache_capacity=0).tokenize
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.hot: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -100,29 +124,53 @@ class _Encoder:
         for chunk in _chunks(some):
             yield from self._by_units(chunk) if self.by_slices else map(self._bytes, self.tokenizer.encode_batch_fast(chunk, add_special_tokens=False))
 
-    def _bytes(self, encoding) -> bytes:
-        ids = array("H" if self.dtype == "<u2" else "I", encoding.ids)
+    def _serialised(self, ids: list[int]) -> bytes:
+        out = array("H" if self.dtype == "<u2" else "I", ids)
         if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
+            out.byteswap()
+        return out.tobytes()
+
+    def _bytes(self, encoding) -> bytes:
+        return self._serialised(encoding.ids)
+
+    def _tokenized(self, some: list[str]) -> list[bytes]:
+        """The ids of slices, by the library's model."""
+        tokenize, ids, ends = self.tokenize, [], [0]
+        for piece in some:
+            shown = piece.replace(" ", BLANK) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(BYTE_CHARS)
+            ids += [t.id for t in tokenize(shown)]
+            ends.append(len(ids))
+        blob, width = self._serialised(ids), np.dtype(self.dtype).itemsize
+        return [blob[x * width : y * width] for x, y in zip(ends, ends[1:])]
 
     def _pieces(self, cut: list[list[str]]) -> dict[str, bytes]:
         """The ids of slices, with all of cut among them; the library gets those that no cache has."""
         if len(self.known) > CACHE_SLICES:
             self.known, self.old = {}, self.known
         known, missing = self.known, []
-        for piece in set(chain.from_iterable(cut)).difference(known):
+        for piece in set(filterfalse(known.__contains__, chain.from_iterable(cut))):
             if (ids := self.old.get(piece)) is None:
                 missing.append(piece)
             else:
                 known[piece] = ids
         if missing:
-            known.update(zip(missing, map(self._bytes, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False))))
+            known.update(zip(missing, self._tokenized(missing)))
         return known
 
-    def _units(self, units: list[str]) -> list[bytes]:
-        """Ids of units, each behind a blank, from the slices of one text: a slice with a blank starts a unit."""
-        ((pieces, _),) = slices([" " + " ".join(units)])
+    def _units(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of units, each behind a blank. Letters alone, or with one common mark behind them, need no pattern."""
+        letters, marked, other = [], [], []
+        for u in units:
+            (letters if u.isalpha() else marked if u[-1:] in MARKS and u[:-1].isalpha() else other).append(u)
+        known = self._pieces([[" " + u for u in letters], [" " + u[:-1] for u in marked], list(MARKS)])
+        out = {u: known[" " + u] for u in letters} | {u: known[" " + u[:-1]] + known[u[-1]] for u in marked}
+        if other:
+            out.update(zip(other, self._sliced(other)))
+        return out
+
+    def _sliced(self, units: list[str]) -> list[bytes]:
+        """The same from the slices of one text: a slice with a blank starts a unit."""
+        pieces = SLICES.findall(" " + " ".join(units))
         known = self._pieces([pieces])
         ids = list(map(known.__getitem__, pieces))
         ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
@@ -137,22 +185,35 @@ class _Encoder:
             self.later, self.before = {}, self.later
         first, later = self.first, self.later
         units = [None if _uneven(t) else t.split(" ") for t in chunk]
-        tails = []
-        for u in set(chain.from_iterable(u[1:] for u in units if u)).difference(later):
-            if (ids := self.before.get(u)) is None:
-                tails.append(u)
-            else:
-                later[u] = ids
-        if tails:
-            later.update(zip(tails, self._units(tails)))
+        flat = list(chain.from_iterable(u[1:] for u in units if u))
+        ids = list(map(self.hot.get, flat))
+        open_ = [i for i, x in enumerate(ids) if x is None]
+        if open_:
+            left = [flat[i] for i in open_]
+            tails = []
+            for u in set(filterfalse(later.__contains__, left)):
+                if (x := self.before.get(u)) is None:
+                    tails.append(u)
+                else:
+                    later[u] = x
+            later.update(self._units(tails))
+            for i, x in zip(open_, map(later.__getitem__, left)):
+                ids[i] = x
+        if not self.hot and len(flat) >= 8 * HOT_UNITS:
+            self.hot = {u: later[u] for u, _ in Counter(flat).most_common(HOT_UNITS)}
         heads = list({u[0] for u in units if u}.difference(first))
-        rest = [pieces for pieces, _ in slices([*heads, *[t for t, u in zip(chunk, units) if u is None]])]
+        rest = [SLICES.findall(t) for t in [*heads, *[t for t, u in zip(chunk, units) if u is None]]]
         known = self._pieces(rest)
         got = [b"".join(map(known.__getitem__, pieces)) for pieces in rest]
         first.update(zip(heads, got))
         whole = iter(got[len(heads) :])
+        at = 0
         for u in units:
-            yield next(whole) if u is None else b"".join([first[u[0]], *map(later.__getitem__, u[1:])])
+            if u is None:
+                yield next(whole)
+            else:
+                yield first[u[0]] + b"".join(ids[at : at + len(u) - 1])
+                at += len(u) - 1
 
 
 def _chunks(some: list[str]):
