@@ -1,16 +1,19 @@
 """Quality rules: base rules and robust multivariate outliers, in DataFrame functions only.
 
-Each text is read once, into a narrow row of counts. Rows that pass the base rules give transformed statistic vectors;
-per language and source a minimum-covariance-determinant estimate is fitted by concentration steps from two starts (all
-rows; medians with MAD scales), the start with the smaller determinant wins, and one reweighting step follows. A row is
-rejected when its squared Mahalanobis distance exceeds `cutoff`. Quantiles of the distances come from histograms of
-their logarithms and moments from partial aggregation, so a hot source is as cheap as any; parameters are joined from
-written tables, so AQE can split its rows. Groups with fewer than `min_group` fitted rows are pooled by language, and
-languages with too few rows are pooled together; a pool that is still too small rejects nothing.
+Each text is read once, into a narrow row of counts. Rows that pass the base rules give transformed statistic vectors.
+Minimum-covariance-determinant estimates are fitted per language and source, per language, and over all: concentration
+steps from two starts (all rows; medians with MAD scales) run until no determinant moves, the start with the smaller one
+wins, and one reweighting step follows. Each estimate is then shrunk towards its parent's as if SHRINK rows
+came from there, so a small group's verdicts move smoothly from its parent's to its own; no group is left out, whatever
+its size. A row is rejected when its squared Mahalanobis distance exceeds `cutoff`, a chi-squared quantile. Quantiles of
+the distances come from mergeable sketches (exact within 1/10,000 of a group's rows) and moments from partial
+aggregation, so a hot source is as cheap as any. A step is one query over the narrow rows, and what it carries on is one
+row a group and start.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,14 +25,43 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: The transformed statistics and the least standard deviation that each is taken to have.
 SCALES = {"word_length": 0.08, "symbols": 0.25, "dup_lines": 0.4, "repeats": 0.4, "length": 1.0}
-#: Share of rows in the covariance subset (half: the estimate stands up to as much junk), and its consistency factor in 5 dimensions.
-CORE, CORE_FACTOR = 0.5, 1.91
-#: Squared distance within which rows count in the reweighting step (chi-squared, 5 degrees of freedom, 0.975).
-REWEIGHT = 12.83
-CUTOFF = 40.0
-STEPS = 3
-MIN_GROUP = 60
-BINS = 24
+
+
+def chi_squared_tail(x: float, degrees: int) -> float:
+    """P(X > x), for an odd number of degrees."""
+    tail, term = math.erfc(math.sqrt(x / 2)), math.exp(-x / 2) * math.sqrt(2 * x / math.pi)
+    for k in range(3, degrees + 1, 2):
+        tail, term = tail + term, term * x / k
+    return tail
+
+
+def chi_squared_quantile(tail: float, degrees: int) -> float:
+    low, high = 0.0, 1_000.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_squared_tail(middle, degrees) > tail else (low, middle)
+    return high
+
+
+P = len(SCALES)
+#: Share of rows in the covariance subset (half: the estimate stands up to as much junk), and the factor that makes its
+#: covariance consistent for Gaussian rows.
+CORE = 0.5
+CORE_FACTOR = CORE / (1 - chi_squared_tail(chi_squared_quantile(1 - CORE, P), P + 2))
+#: Squared distance within which rows count in the reweighting step.
+REWEIGHT = chi_squared_quantile(0.025, P)
+#: Share of Gaussian rows that are rejected by mistake, and the squared distance that it means (about 40).
+MISTAKES = 1.5e-7
+CUTOFF = chi_squared_quantile(MISTAKES, P)
+#: All covariances have this much added on the diagonal, in units of SCALES: no group counts as tighter than the least
+#: standard deviations there, not even one whose rows are all alike.
+RIDGE = 1.0
+#: Rows that a parent's estimate counts for.
+SHRINK = 60
+#: Concentration steps go on until no log-determinant moves by more than STILL, or for STEPS steps.
+STILL, STEPS = 1e-3, 30
+#: Narrow rows that a task of the fit should have at least.
+TASK_ROWS = 25_000
 #: Groups whose parameters are broadcast (about 200 bytes each), and salts of a hot group beyond it.
 BROADCAST_GROUPS = 50_000
 SALTS = 32
@@ -90,38 +122,96 @@ def _vectors(stats: DataFrame) -> DataFrame:
     return stats.select("*", *[(values[k] / s).alias(f"x{i}") for i, (k, s) in enumerate(SCALES.items())])
 
 
-def _joined(rows: DataFrame, params: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """rows with the parameters of their group, a written table of one row a group.
+def _joined(rows: DataFrame, params: DataFrame, on: list[str], few: bool, how: str = "inner") -> DataFrame:
+    """rows with the parameters of their group; few: whether there are at most BROADCAST_GROUPS groups.
 
-    Up to BROADCAST_GROUPS groups go to the rows, which then need no exchange before they are aggregated in part. Beyond
-    it, both sides are dealt by group and one of SALTS numbers, so that a hot group is spread over as many tasks.
+    Few groups go to the rows, which then need no exchange before they are aggregated in part. Otherwise both sides are
+    dealt by group and one of SALTS numbers, so that a hot group is spread over as many tasks.
     """
-    if params.count() <= BROADCAST_GROUPS:
+    if few:
         return rows.join(F.broadcast(params), on, how)
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
     spread = params.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return salted.join(spread, [*on, "__salt"], how).drop("__salt")
 
 
-P = len(SCALES)
+X = [f"x{i}" for i in range(P)]
 LOWER = [(i, j) for i in range(P) for j in range(i + 1)]
 
 
-def _factor(moments: DataFrame, factor: float, s: str) -> DataFrame:
-    """grp, centre m*, Cholesky factor l** of factor * covariance + identity, and its log-determinant, as columns with suffix s."""
+def _moments(rows: DataFrame, *by) -> DataFrame:
+    """n, means m* and covariances c** (lower triangle) of each group; by: columns to group by, and further aggregates."""
+    keys, more = [k for k in by if isinstance(k, str)], [k for k in by if not isinstance(k, str)]
+    sums = [F.avg(x).alias(f"m{i}") for i, x in enumerate(X)] + [F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"c{i}{j}") for i, j in LOWER]
+    got = rows.groupBy(*keys).agg(F.count("*").alias("n"), *more, *sums)
+    means = [F.col(f"m{i}") for i in range(P)]
+    return got.select(*[c for c in got.columns if c[0] not in "mc"], *means, *[(F.col(f"c{i}{j}") - means[i] * means[j]).alias(f"c{i}{j}") for i, j in LOWER])
+
+
+def _inverse(matrix: Column) -> Column:
+    """p (inverse) and det (log-determinant) of a positive definite matrix, an array by rows, by the sweep operator."""
+    kind = "struct<p:array<double>,det:double>"
+
+    def sweep(a: Column, k: Column) -> Column:
+        pivot = F.get(a["p"], k * (P + 1))
+
+        def cell(x: Column, ij: Column) -> Column:
+            i, j = F.floor(ij / P).cast("int"), F.pmod(ij, F.lit(P))
+            whole = F.when(j == k, -1 / pivot).otherwise(x / pivot)
+            return F.when(i == k, whole).when(j == k, x / pivot).otherwise(x - F.get(a["p"], i * P + k) * F.get(a["p"], k * P + j) / pivot)
+
+        return F.struct(F.transform(a["p"], cell).alias("p"), (a["det"] + F.log(pivot)).alias("det")).cast(kind)
+
+    start = F.struct(matrix.alias("p"), F.lit(0.0).alias("det")).cast(kind)
+    swept = F.aggregate(F.sequence(F.lit(0), F.lit(P - 1)), start, sweep)
+    return F.struct(F.transform(swept["p"], lambda x: -x).alias("p"), swept["det"].alias("det"))
+
+
+def _params(moments: DataFrame, factor: float, *keep: str) -> DataFrame:
+    """keep, m (means), p (inverse) and det of factor * covariance + RIDGE."""
+    cell = lambda i, j: factor * F.col(f"c{max(i, j)}{min(i, j)}") + (RIDGE if i == j else 0.0)
+    inverse = _inverse(F.array(*[cell(i, j) for i in range(P) for j in range(P)]))
+    return moments.select(*keep, F.array(*[f"m{i}" for i in range(P)]).alias("m"), inverse.alias("inverse")).select(*keep, "m", "inverse.*")
+
+
+def _far(rows: DataFrame, params: DataFrame, few: bool) -> DataFrame:
+    """rows, with d, the squared Mahalanobis distance under each parameter row of their group."""
+    got = _joined(rows, params, ["grp"], few)
+    got = got.select("*", *[(F.col(x) - F.get("m", F.lit(i))).alias(f"z{i}") for i, x in enumerate(X)])
+    terms = [F.get("p", F.lit(i * P + j)) * F.col(f"z{i}") * F.col(f"z{j}") * (1.0 if i == j else 2.0) for i, j in LOWER]
+    return got.withColumn("d", reduce(lambda a, b: a + b, terms)).drop("m", "p", *[f"z{i}" for i in range(P)])
+
+
+def mcd_moments(rows: DataFrame, steps: int = STEPS) -> DataFrame:
+    """n, means m* and covariances c** of the estimate of each grp; rows: grp, x0..x4, a written table."""
+    by = ["grp", "start"]
+    everything = _params(_moments(rows, "grp"), 1.0, "grp")
+    middle = cut(rows.groupBy("grp").agg(*[F.percentile_approx(x, 0.5, 10_000).alias(f"m{i}") for i, x in enumerate(X)]))
+    few = middle.count() <= BROADCAST_GROUPS
+    scale = [F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 10_000).alias(f"s{i}") for i, x in enumerate(X)]
+    spread = _joined(rows, middle, ["grp"], few).groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(P)], *scale)
+    robust = _params(spread.select("*", *[(F.pow(1.4826 * F.col(f"s{i}"), 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in LOWER]), 1.0, "grp")
+    one = lambda df, k: df.select("grp", F.lit(k).alias("start"), "m", "p", "det")
+    params = cut(one(everything, 0).unionByName(one(robust, 1)))
+    for _ in range(steps):
+        limits = _far(rows, params, few).groupBy(*by).agg(F.percentile_approx("d", CORE, 10_000).alias("top"))
+        core = _far(rows, params.join(limits, by), few).where("d <= top")
+        params = cut(_params(_moments(core, *by, F.max("det").alias("was")), CORE_FACTOR, *by, "was"))
+        moved = params.agg(F.max(F.abs(F.col("det") - F.col("was")))).first()[0]
+        if moved is None or moved <= STILL:
+            break
+    best = cut(params.groupBy("grp").agg(F.min_by(F.struct("m", "p"), "det").alias("best")).select("grp", "best.*"))
+    return cut(_moments(_far(rows, best, few).where(F.col("d") <= REWEIGHT), "grp"))
+
+
+def _factor(moments: DataFrame, s: str) -> DataFrame:
+    """grp, centre m* and Cholesky factor l** of covariance + RIDGE, as columns with suffix s."""
     out = moments
     for i, j in LOWER:
-        a = factor * (F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) + (1.0 if i == j else 0.0)
+        a = F.col(f"c{i}{j}") + (RIDGE if i == j else 0.0)
         a = reduce(lambda x, k: x - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), a)  # noqa: B023
         out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(a, F.lit(1e-9))) if i == j else a / F.col(f"l{j}{j}"))
-    det = reduce(lambda x, y: x + y, [F.log(f"l{i}{i}") for i in range(P)])
-    return out.select("grp", *[F.col(f"m{i}").alias(f"m{i}{s}") for i in range(P)], *[F.col(f"l{i}{j}").alias(f"l{i}{j}{s}") for i, j in LOWER], det.alias(f"det{s}"))
-
-
-def _moments(rows: DataFrame, weight: Column) -> DataFrame:
-    """Means m* and mean products q** of the rows of each group where weight holds."""
-    kept = rows.where(weight)
-    return kept.groupBy("grp").agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(P)], *[F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in LOWER])
+    return out.select("grp", *[F.col(f"m{i}").alias(f"m{i}{s}") for i in range(P)], *[F.col(f"l{i}{j}").alias(f"l{i}{j}{s}") for i, j in LOWER])
 
 
 def _distance(rows: DataFrame, s: str) -> DataFrame:
@@ -132,56 +222,42 @@ def _distance(rows: DataFrame, s: str) -> DataFrame:
     return rows.withColumn(f"d{s}", reduce(lambda x, y: x + y, [F.col(f"z{i}") * F.col(f"z{i}") for i in range(P)])).drop(*[f"z{i}" for i in range(P)])
 
 
-def _core(rows: DataFrame, s: str) -> DataFrame:
-    """(grp, bin<s>): the histogram bin of the distance up to which CORE of the group's rows lie; rows: grp, bin."""
-    counts = rows.groupBy("grp", F.col(f"b{s}").alias("bin")).agg(F.count("*").alias("n"))
-    total = counts.groupBy("grp").agg(F.collect_list(F.struct("bin", "n")).alias("bins"), F.sum("n").alias("total"))
-    walk = F.aggregate(F.array_sort("bins"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("bin")), lambda a, x: F.when(a["n"] >= F.ceil(CORE * F.col("total")), a).otherwise(F.struct((a["n"] + x["n"]).alias("n"), x["bin"].alias("bin"))))
-    return total.select("grp", walk["bin"].alias(f"t{s}"))
-
-
-def _bin(d: str) -> Column:
-    return F.floor(F.log(F.col(d) + 1e-9) * BINS)
+def mcd_distances(rows: DataFrame, steps: int = STEPS) -> DataFrame:
+    """grp and the parameters (suffix _f) of its own estimate; rows: grp, x0..x4, a written table."""
+    return cut(_factor(mcd_moments(rows, steps), "_f"))
 
 
-def mcd_distances(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """grp and the final parameters (suffix _f) of each group; rows: grp, x0..x4, a written table."""
-    everything = _factor(_moments(rows, F.lit(True)), 1.0, "_a")
-    middle = cut(rows.groupBy("grp").agg(*[F.percentile_approx(f"x{i}", 0.5, 10_000).alias(f"c{i}") for i in range(P)]))
-    spread = _joined(rows, middle, ["grp"]).groupBy("grp").agg(*[F.first(f"c{i}").alias(f"m{i}") for i in range(P)], *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"c{i}")), 0.5, 10_000).alias(f"s{i}") for i in range(P)])
-    diagonal = lambda i, j: (F.pow(1.4826 * F.col(f"s{i}"), 2) if i == j else F.lit(0.0)) + F.col(f"m{i}") * F.col(f"m{j}")
-    robust = _factor(spread.select("*", *[diagonal(i, j).alias(f"q{i}{j}") for i, j in LOWER]), 1.0, "_b")
-    params = cut(everything.join(robust, "grp"))
-    for _ in range(steps):
-        far = _distance(_distance(_joined(rows, params, ["grp"]), "_a"), "_b")
-        binned = far.select("grp", *[f"x{i}" for i in range(P)], _bin("d_a").alias("b_a"), _bin("d_b").alias("b_b"))
-        limits = cut(_core(binned, "_a").join(_core(binned, "_b"), "grp"))
-        binned = _joined(binned, limits, ["grp"])
-        params = cut(_factor(_moments(binned, F.expr("b_a <= t_a")), CORE_FACTOR, "_a").join(_factor(_moments(binned, F.expr("b_b <= t_b")), CORE_FACTOR, "_b"), "grp"))
-    better = lambda c: F.when(F.col("det_b") < F.col("det_a"), F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(f"{c}_c")
-    chosen = cut(params.select("grp", *[better(f"m{i}") for i in range(P)], *[better(f"l{i}{j}") for i, j in LOWER]))
-    return cut(_factor(_moments(_distance(_joined(rows, chosen, ["grp"]), "_c"), F.col("d_c") <= REWEIGHT), 1.0, "_f"))
+def _shrunk(own: DataFrame, parents: DataFrame) -> DataFrame:
+    """own (grp, up, n, m*, c**) moved towards the moments of the parent named up, which counts for SHRINK rows."""
+    names = [f"m{i}" for i in range(P)] + [f"c{i}{j}" for i, j in LOWER]
+    both = own.join(parents.select(F.col("grp").alias("up"), *[F.col(c).alias(f"up_{c}") for c in names]), "up")
+    w = F.col("n") / (F.col("n") + SHRINK)
+    mean = [(w * F.col(f"m{i}") + (1 - w) * F.col(f"up_m{i}")).alias(f"m{i}") for i in range(P)]
+    gap = lambda i: F.col(f"m{i}") - F.col(f"up_m{i}")
+    spread = [(w * F.col(f"c{i}{j}") + (1 - w) * F.col(f"up_c{i}{j}") + w * (1 - w) * gap(i) * gap(j)).alias(f"c{i}{j}") for i, j in LOWER]
+    return both.select("grp", "n", *mean, *spread)
 
 
-def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP, key: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: doc_id, key (columns of docs), the statistics, base_failed, distance2 (null if base_failed or not fitted), kept.
+def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, key: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, key (columns of docs), the statistics, base_failed, distance2 (null if base_failed), kept.
 
-    Null lang and source are groups of their own (the empty string). An empty table gives no rows; repeated rows each
-    get the same verdict.
+    Null lang and source are groups of their own (the empty string). An empty table gives no rows; repeated rows, ties
+    and rows that share an id each get the verdict of their own text. Texts of any length are read whole.
     """
     stats = statistics(docs, key)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    stats = cut(_vectors(stats.withColumn("base_failed", failed)))
-    sizes = stats.where(~F.col("base_failed")).groupBy("lang", "source").agg(F.count("*").alias("n"))
-    sizes = sizes.select("*", F.when(F.col("n") >= min_group, F.concat_ws("\u0001", F.lit("g"), "lang", "source")).alias("own"))
-    spare = cut(sizes.where("own IS NULL").groupBy("lang").agg(F.sum("n").alias("spare")))
-    pooled = F.when(F.col("spare") >= min_group, F.concat_ws("\u0001", F.lit("l"), "lang")).otherwise(F.lit("all"))
-    named = cut(sizes.join(spare, "lang", "left").select("lang", "source", F.coalesce("own", pooled).alias("grp"), "n"))
-    enough = [r[0] for r in named.where("grp = 'all'").groupBy("grp").agg(F.sum("n")).where(F.col("sum(n)") < min_group).select("grp").collect()]
-    named = named.where(~F.col("grp").isin(enough)) if enough else named
-    rows = cut(_joined(stats, named.drop("n"), ["lang", "source"], "left"))
-    params = mcd_distances(rows.where("NOT base_failed AND grp IS NOT NULL").select("grp", *[f"x{i}" for i in range(P)]))
-    judged = _distance(_joined(rows, params, ["grp"], "left"), "_f").withColumn("distance2", F.when(~F.col("base_failed"), F.col("d_f")))
+    stats = cut(_vectors(stats.withColumn("base_failed", failed)).withColumn("grp", F.concat_ws("\u0001", F.lit("own"), "lang", "source")))
+    fit = stats.where(~F.col("base_failed"))
+    levels = F.array(F.col("grp"), F.concat_ws("\u0001", F.lit("lang"), "lang"), F.lit("all"))
+    tasks = max(1, -(-3 * fit.count() // TASK_ROWS))
+    rows = cut(fit.select(F.explode(levels).alias("grp"), *X).coalesce(tasks))
+    moments = mcd_moments(rows)
+    top = moments.where("grp = 'all'").drop("n")
+    up = F.concat_ws("\u0001", F.lit("lang"), F.get(F.split("grp", "\u0001"), F.lit(1)))
+    languages = _shrunk(moments.where(F.col("grp").startswith("lang\u0001")).withColumn("up", F.lit("all")), top)
+    own = _shrunk(moments.where(F.col("grp").startswith("own\u0001")).withColumn("up", up), languages)
+    params = cut(_factor(own, "_f"))
+    judged = _distance(_joined(stats, params, ["grp"], params.count() <= BROADCAST_GROUPS, "left"), "_f").withColumn("distance2", F.when(~F.col("base_failed"), F.col("d_f")))
     kept = ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= cutoff)
     return judged.select("doc_id", *key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("distance2", 3).alias("distance2"))
 
