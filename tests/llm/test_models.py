@@ -318,3 +318,50 @@ def test_lm_vocabulary_beyond_its_size_changes_nothing_but_members(spark, monkey
     got = {r.doc_id: r for r in lm_scoring.pseudo_likelihood(table(spark, rows), rounds=1).collect()}
     assert {i: r.least_count for i, r in got.items()} == {i: min(want[w] for w in t.split()) for i, t in rows}
     assert all(r.pll < 0 for r in got.values())
+
+
+def test_a_fitted_field_adds_repeats_and_secrets(spark):
+    """Numbers that a rule found, in forms that no rule takes; secrets without their cue; and nothing in clean texts."""
+    rng = random.Random(17)
+    phone = lambda k: (f"+1 212 5{k % 90 + 10} 77{k % 89 + 10}", f"2125{k % 90 + 10}77{k % 89 + 10}", f"(212) 5{k % 90 + 10}-77{k % 89 + 10}", f"212 5{k % 90 + 10} 77{k % 89 + 10}")
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    rows, added = [], {}
+    for i in range(80):
+        full, *other = phone(i)
+        rows.append((i, f"{prose(rng, 30)} {full} {prose(rng, 20)}"))
+        rows.append((100 + i, f"{prose(rng, 20)} token = \"{key()}\" {prose(rng, 20)} 12 3 {prose(rng, 9)} 2024 {rng.randrange(10**9, 10**10)} x"))
+        if i < 12:
+            rows.append((200 + i, f"{prose(rng, 10)} {full} {prose(rng, 60)} {other[i % 3]} {prose(rng, 8)}"))
+            added[200 + i] = {f"phone:{rows[-1][1].rindex(other[i % 3])}:{rows[-1][1].rindex(other[i % 3]) + len(other[i % 3])}"}
+            secret = key()
+            rows.append((300 + i, f"secret: {secret} {prose(rng, 60)} {secret} end"))
+            added[300 + i] = {f"secret:{m.start()}:{m.end()}" for m in re.finditer(secret, rows[-1][1])}
+            rows.append((500 + i, f"{prose(rng, 10)} api_key={secret[::-1]} {prose(rng, 30)} password: '{secret[::-1]}' {prose(rng, 5)}"))
+    rows += [(400 + i, f"{prose(rng, 40)} {rng.randrange(10**15, 10**16) // 10 * 10 + 1 if i % 2 else '4.0.'} chapter 12 {prose(rng, 5)}") for i in range(40)]
+    got = {r.doc_id: r for r in pii.find_pii(table(spark, rows)).collect()}
+    new = {i: set(r.spans.split(",")) - set(pii.named(spans_reference(dict(rows)[i])).split(",")) - {""} for i, r in got.items()}
+    assert {i: x for i, x in new.items() if 200 <= i < 400} == added
+    assert all(len(new[100 + i]) == 1 and "secret" in min(new[100 + i]) for i in range(80))
+    assert not any(new[i] for i in [*range(80), *range(400, 440)])
+    for i in range(12):
+        t = dict(rows)[500 + i]
+        k = re.search("api_key=([0-9a-f]+)", t).group(1)
+        assert new[500 + i] == {f"secret:{m.start()}:{m.end()}" for m in re.finditer(k, t)}
+    assert all(r.n_spans == len([x for x in r.spans.split(",") if x]) for r in got.values())
+
+
+def test_belief_propagation_with_loops_is_near_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(8)
+    field = pii.Field(__import__("pandas").DataFrame({k: [] for k in ("sig", "label", "left", "right", "back", "on", "n")}))
+    field.node, field.chain, field.skip = rng.normal(size=field.node.shape), 0.5 * rng.normal(size=field.chain.shape), np.abs(rng.normal(size=field.skip.shape))
+    sig, chain, skip = np.array([1, 2, 3, 4]), np.array([[0, 1, 2], [1, 2, 3]]), np.array([[0, 1], [2, 3]])
+    total = np.zeros((4, pii.N))
+    for y in itertools.product(range(pii.N), repeat=4):
+        e = sum(field.node[s, k] for s, k in zip(sig, y)) + sum(field.chain[y[a], y[b]] for a, b in chain.T) + sum(field.skip[y[a]] for a, b in skip.T if y[a] == y[b])
+        for i, k in enumerate(y):
+            total[i, k] += np.exp(e)
+    got = field.marginals(sig, chain, skip, np.zeros(4, int))
+    want = total / total.sum(1, keepdims=True)
+    assert np.abs(got - want).max() < 0.1 and (got.argmax(1) == want.argmax(1)).all()
