@@ -9,8 +9,6 @@ aggregation over narrow rows, and the join back is between two written tables, s
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +28,10 @@ def _normalised(docs: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
 def exact_dedup(docs: DataFrame, digest_all: bool = False, broadcast_groups: int = BROADCAST_GROUPS, key: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: doc_id, key (columns of docs), keep_id, group_size, kept, text_sha256.
 
-    The row with the most code points in the original text, then the smallest doc_id, stays. Null text counts as empty,
-    empty texts are equal to each other, an empty table gives no rows. text_sha256 is null where no full hash was
-    needed, unless digest_all. A null doc_id reads as the smallest one; rows with the same doc_id and text stay apart in group_size and
-    all carry the verdict of that doc_id, or with a key that of their doc_id and key: the greatest key of the doc_id stays.
+    The row with the most code points in the original text, then the smallest doc_id, stays; of rows that tie in both,
+    repeated rows and rows with a null doc_id (it reads as the smallest one) among them, one stays, with a key the one of
+    the greatest key. Null text counts as empty, empty texts are equal to each other, an empty table gives no rows; texts
+    of any length are read whole. text_sha256 is null where no full hash was needed, unless digest_all.
     """
     sketch = _normalised(docs).select("len", "prefix")
     keys = cut(sketch.groupBy("len", "prefix").agg(F.count("*").alias("n")).where("n > 1").select("len", "prefix"))
@@ -44,18 +42,17 @@ def exact_dedup(docs: DataFrame, digest_all: bool = False, broadcast_groups: int
         rows = rows.withColumn("open", F.lit(True))
     full = F.sha2(F.col("norm").cast("binary"), 256)
     rows = rows.select("doc_id", *key, "chars", "len", "prefix", F.coalesce("open", F.lit(False)).alias("open"), (full if digest_all else F.when(F.col("open"), full)).alias("text_sha256"))
-    rows = cut(rows)
-    best = F.max(F.struct("chars", F.bitwise_not("doc_id").alias("last"), *key)).alias("best")
+    rows = cut(rows.withColumn("at", F.monotonically_increasing_id()))  # a row's place in the written table
+    best = F.max(F.struct("chars", F.bitwise_not("doc_id").alias("last"), *[F.col(k).alias(f"key{i}") for i, k in enumerate(key)], "at")).alias("best")
     groups = rows.where("open").groupBy("len", "text_sha256").agg(F.count("*").alias("group_size"), best).where("group_size > 1")
-    groups = cut(groups.select("len", "text_sha256", "group_size", F.bitwise_not("best.last").alias("keep_id"), *[F.col(f"best.{k}").alias(f"keep{k}") for k in key]))
+    groups = cut(groups.select("len", "text_sha256", "group_size", F.bitwise_not("best.last").alias("keep_id"), F.col("best.at").alias("keep_at")))
     out = rows.join(groups, ["len", "text_sha256"], "left")
-    same = reduce(lambda x, k: x & F.col(f"keep{k}").eqNullSafe(F.col(k)), key, F.col("keep_id").eqNullSafe(F.col("doc_id")))
     return out.select(
         "doc_id",
         *key,
         F.coalesce("keep_id", "doc_id").alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("keep_id").isNull() | same).alias("kept"),
+        (F.col("keep_at").isNull() | (F.col("keep_at") == F.col("at"))).alias("kept"),
         "text_sha256",
     )
 

@@ -105,3 +105,12 @@ def test_substrings_do_not_depend_on_where_a_chunk_begins(spark, monkeypatch):
         monkeypatch.setattr(substring_dedup, "CHUNK_CHARS", chars)
         got = {r.doc_id: r.n_removed for r in substring_dedup.dedup_substrings(table(spark, rows).coalesce(1)).collect()}
         assert got == {k: 0 if k < 100 else 20 for k, _ in rows}
+
+
+def test_exact_dedup_keeps_one_of_repeated_rows(spark):
+    from tessera.llm import exact_dedup
+
+    rows = [(1, "a b"), (1, "a b"), (1, "a b"), (2, "ab"), (None, "c"), (None, "c"), (None, "d"), (5, None), (5, "")]
+    got = exact_dedup.exact_dedup(table(spark, rows).repartition(3)).collect()
+    assert Counter((r.keep_id, r.group_size, r.kept) for r in got if r.doc_id in (1, 2)) == Counter({(1, 4, True): 1, (1, 4, False): 3})
+    assert Counter((r.group_size, r.kept) for r in got if r.doc_id not in (1, 2)) == Counter([(2, True), (2, False), (1, True), (2, True), (2, False)])
