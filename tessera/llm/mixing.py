@@ -14,7 +14,6 @@ of posteriors and returns K partial sums a batch. Nothing else is shuffled, and
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -24,14 +23,13 @@ from pyspark.sql import functions as F
 from .common import cut, documents, texts
 from .text_stats import NAMES, matrix
 
-#: Labelled rows, by hash order, that the classifier is fitted on, and characters of each; bounds of the driver's memory.
+#: Labelled rows, by hash order, that the classifier is fitted on: a bound of the driver's memory.
 FIT_ROWS = 4_000
-FIT_CHARS = 20_000
 FIT_WORDS = 200
 STEPS = 60
 #: Of all tokens: the gap to the targets that ends the fit, and the progress below which it stands still.
 TOLERANCE = 1e-4
-STALL = 1e-4
+STALL = 1e-7
 CAP = 8.0
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.8, "poor": 0.15, "toxic": 0.05}
@@ -44,21 +42,18 @@ def labelled(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").cast("long").alias("doc_id"), domain.alias("domain")).where("domain IS NOT NULL")
 
 
+def present(text: str) -> set[str]:
+    """The words of a text that the classifier knows of."""
+    return set(_WORD.findall(text.lower()))
+
+
 class Classifier:
-    """Softmax regression over document statistics and the presence of the words that tell the domains apart best."""
+    """Softmax regression over document statistics and the presence of some words."""
 
-    def __init__(self, sample: list[str], domains: list[str], names: tuple[str, ...], ridge: float = 1e-3, rounds: int = 400):
-        self.names = names
+    def __init__(self, names: tuple[str, ...], words: list[str], x: np.ndarray, domains: list[str], ridge: float = 1e-3, rounds: int = 400):
+        """x: statistics and presence of words, a row a document; domains: their labels."""
+        self.names, self.words = names, {w: i for i, w in enumerate(words)}
         y = np.array([names.index(d) for d in domains], int)
-        sets = [set(_WORD.findall(t.lower())) for t in sample]
-        n = np.bincount(y, minlength=len(names)) + 1.0
-        by = [Counter() for _ in names]
-        for k, words in zip(y, sets):
-            by[k].update(words)
-        rate = {w: (np.array([c[w] for c in by]) + 0.5) / n for w in set().union(*by) if sum(c[w] for c in by) >= 5}
-        gain = sorted(rate, key=lambda w: (-float((np.sqrt(rate[w]).max() - np.sqrt(rate[w]).min())), w))[:FIT_WORDS]
-        self.words = {w: i for i, w in enumerate(gain)}
-        x = self._raw(sample)
         self.mean, self.scale = (x.mean(0), x.std(0) + 0.1) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
         x = np.hstack(((x - self.mean) / self.scale, np.ones((len(x), 1))))
         self.w = np.zeros((x.shape[1], len(names)))
@@ -78,7 +73,7 @@ class Classifier:
         hits = np.zeros((len(some), len(self.words)))
         known = self.words.keys()
         for i, t in enumerate(some):
-            hits[i, [self.words[w] for w in known & set(_WORD.findall(t.lower()))]] = 1
+            hits[i, [self.words[w] for w in known & present(t)]] = 1
         return np.hstack((matrix(some).reshape(len(some), len(NAMES)), hits))
 
     def posterior(self, some: list[str]) -> np.ndarray:
@@ -87,11 +82,36 @@ class Classifier:
 
 
 def fit_classifier(docs: DataFrame, domains: DataFrame, names: tuple[str, ...]) -> Classifier:
-    """Fit on FIT_ROWS labelled rows, the first by a hash of the id."""
+    """Fit on FIT_ROWS labelled rows, the first by a hash of the id, over their whole texts.
+
+    Statistics and words are taken where the texts lie, and the words that tell the domains apart best are found by a
+    distributed count; the driver gets a narrow row for each of the FIT_ROWS.
+    """
     pick = domains.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(FIT_ROWS)
-    rows = docs.join(F.broadcast(pick), "doc_id").select(F.substring("text", 1, FIT_CHARS), "domain", "doc_id").collect()
-    rows.sort(key=lambda r: (r[2], r[1], r[0]))
-    return Classifier([r[0] for r in rows], [r[1] for r in rows], names)
+
+    def run(batches):
+        for b in batches:
+            some = b["text"].tolist()
+            yield pd.DataFrame({"doc_id": b["doc_id"], "domain": b["domain"], "x": list(matrix(some)), "words": [sorted(present(t)) for t in some]})
+
+    rows = docs.join(F.broadcast(pick), "doc_id").select("doc_id", "text", "domain")
+    rows = rows.mapInPandas(run, "doc_id long, domain string, x array<double>, words array<string>")
+    rows = cut(rows.withColumn("at", F.monotonically_increasing_id()))
+    first = rows.select("at", "doc_id", "domain", F.xxhash64("x").alias("digest")).orderBy(F.xxhash64("doc_id"), "doc_id", "domain", "digest", "at").limit(FIT_ROWS)
+    rows = cut(rows.join(F.broadcast(first.select("at")), "at", "left_semi"))
+    n = {r[0]: r[1] + 1.0 for r in rows.groupBy("domain").count().collect()}
+    rate = [(F.count(F.when(F.col("domain") == k, 1)) + 0.5) / n.get(k, 1.0) for k in names]
+    seen = rows.select("domain", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.array(*rate).alias("rate"))
+    gain = F.sqrt(F.array_max("rate")) - F.sqrt(F.array_min("rate"))
+    words = [r[0] for r in seen.where("n >= 5").orderBy(F.desc(gain), "word").limit(FIT_WORDS).select("word").collect()]
+    hits = F.array_intersect("words", F.array(*[F.lit(w) for w in words]).cast("array<string>"))
+    got = rows.select("doc_id", "domain", "x", hits.alias("hits")).collect()
+    got.sort(key=lambda r: (r["doc_id"], r["domain"], r["x"]))
+    place, x = {w: i for i, w in enumerate(words)}, np.zeros((len(got), len(NAMES) + len(words)))
+    for i, r in enumerate(got):
+        x[i, : len(NAMES)] = r["x"]
+        x[i, [len(NAMES) + place[w] for w in r["hits"]]] = 1
+    return Classifier(names, words, x, [r["domain"] for r in got])
 
 
 def memberships(docs: DataFrame, model: Classifier, key: tuple[str, ...] = ()) -> DataFrame:
@@ -156,7 +176,7 @@ def fit_rates(rows: DataFrame, targets: np.ndarray, floor: float, cap: float, st
     for _ in range(steps):
         reached, ahead = totals()
         gap = reached - targets
-        if np.abs(gap).max() <= TOLERANCE * size or (len(fit.history) >= 4 and np.abs(last - reached).max() <= STALL * size):  # noqa: F821
+        if np.abs(gap).max() <= TOLERANCE * size or (len(fit.history) >= 8 and np.abs(last - reached).max() <= STALL * size):  # noqa: F821
             break
         last = reached
         fit.history.append(inverse @ (ahead - targets) / size)
