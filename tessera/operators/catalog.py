@@ -22,11 +22,13 @@ def eligible(items: DataFrame) -> DataFrame:
 def download_queue(items: DataFrame, sets: list[str] | None, finishes: list[str], existing: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """One row an item and wanted finish: id, name, set_code, finish, file; files in existing (file) are left out.
 
-    Items of the same id count once; a limit takes the first by id and finish.
+    Items of the same id count once (the least of their values); a limit takes the first by id and finish.
     """
     some = eligible(items)
     some = some.where(F.upper("set").isin([s.upper() for s in sets])) if sets else some
-    some = some.dropDuplicates(["id"]).select("id", "name", "set", "collector_number", F.explode("finishes").alias("finish")).where(F.col("finish").isin(finishes))
+    columns = [F.col(c) for c in ("name", "set", "collector_number", "finishes")]
+    some = some.groupBy("id").agg(F.min(F.struct(*columns)).alias("i")).select("id", "i.*")
+    some = some.select("id", "name", "set", "collector_number", F.explode("finishes").alias("finish")).where(F.col("finish").isin(finishes))
     file = F.concat_ws("/", T.safe_set_folder(F.col("set")), F.col("finish"), T.safe_file_name(F.col("collector_number"), F.col("name"), F.col("id")))
     out = some.select("id", "name", F.upper("set").alias("set_code"), "finish", file.alias("file"))
     out = out.join(existing, "file", "left_anti") if existing is not None else out
@@ -61,7 +63,8 @@ def upsert(existing: DataFrame, new: DataFrame, force: bool = False, key: str =
     """existing with the rows of new, by key.
 
     New keys are added unless their id is taken; of several new rows with one id, the first by order (the key) stays.
-    With force, rows of known keys take new values in all columns but the id and source id.
+    With force, rows of known keys take new values in all columns but the id and source id; of several new rows with one
+    key, the first by order (the id) and then by all columns counts.
     """
     w = Window.partitionBy(id_col).orderBy(order or key)
     first = new.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
@@ -69,7 +72,8 @@ def upsert(existing: DataFrame, new: DataFrame, force: bool = False, key: str =
     if not force:
         return existing.unionByName(fresh)
     fixed = {key, id_col, "source_id"}
-    update = new.dropDuplicates([key]).select(F.col(key), F.lit(True).alias("hit"), *[F.col(c).alias(f"new_{c}") for c in existing.columns if c not in fixed])
+    last = Window.partitionBy(key).orderBy(order or id_col, *[c for c in new.columns if c not in (key, order or id_col)])
+    update = new.withColumn("n", F.row_number().over(last)).where("n = 1").select(F.col(key), F.lit(True).alias("hit"), *[F.col(c).alias(f"new_{c}") for c in existing.columns if c not in fixed])
     old = existing.join(update, key, "left").select(*[F.col(c) if c in fixed else F.when(F.col("hit"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in existing.columns])
     return old.unionByName(fresh)
 
