@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, documents, texts
 
+U64 = np.uint64
 SEED = 42
 LINK_BITS = 3
 #: Fingerprints that a shard should hold, and that the driver fits a tree on (by a hash, at most about twice as many).
@@ -121,11 +122,52 @@ def split(points: np.ndarray, tries: int = 8):
     return best[1:] if best[0] <= 0.9 * n else None
 
 
-def local_components(fp: np.ndarray, low: bool, leaf_rows: int = 256) -> np.ndarray:
-    """For each of the distinct fingerprints, the position of the least one in its component within the shard."""
-    label = np.arange(len(fp))
-    half = (fp & np.uint64(0xFFFFFFFF) if low else fp >> np.uint64(32)).astype(np.uint32)
-    todo = [np.arange(len(fp))]
+def _close(own: np.ndarray, low: bool):
+    """Pairs of positions that may be within LINK_BITS, for fingerprints whose one half differs by 1 bit at most.
+
+    Then the other half differs by 3 bits at most, so one of its 16-bit quarters by 1 at most: pairs meet at equal values
+    or at one flipped bit. Fingerprints are distinct, so a half and a quarter that all share leave 65,536 at most.
+    """
+    other = own >> U64(32) if low else own
+    for shift in (0, 16):
+        q = ((other >> U64(shift)) & U64(0xFFFF)).astype(np.int64)
+        order = np.argsort(q, kind="stable")
+        ordered = q[order]
+        for flip in [0, *(1 << k for k in range(16))]:
+            first, last = np.searchsorted(ordered, q ^ flip), np.searchsorted(ordered, q ^ flip, "right")
+            many = np.cumsum(last - first)
+            at = 0
+            while at < len(q):  # about 4,000,000 pairs at a time, all of one row at least
+                end = max(at + 1, int(np.searchsorted(many, (many[at - 1] if at else 0) + 4_000_000)))
+                n = last[at:end] - first[at:end]
+                i = np.repeat(np.arange(at, end), n)
+                j = order[np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at:end], n)]
+                ok = (i < j) & (np.bitwise_count(own[i] ^ own[j]) <= LINK_BITS)
+                yield i[ok], j[ok]
+                at = end
+
+
+def _joined(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least position of each position's component."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[i], label[j])
+        new = label.copy()
+        for side in (i, j, label[i], label[j]):
+            np.minimum.at(new, side, least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def local_components(fp: np.ndarray, low: bool, leaf_rows: int = 256, block_rows: int = 4_096) -> np.ndarray:
+    """For each of the distinct fingerprints, the position of the least one in its component within the shard.
+
+    A node that a tree over its half cannot split, as many fingerprints share that half, is searched by the other half.
+    """
+    half = (fp & U64(0xFFFFFFFF) if low else fp >> U64(32)).astype(np.uint32)
+    todo, left, right = [np.arange(len(fp))], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     while todo:
         idx = todo.pop()
         best = split(half[idx]) if len(idx) > leaf_rows else None
@@ -133,14 +175,16 @@ def local_components(fp: np.ndarray, low: bool, leaf_rows: int = 256) -> np.ndar
             d = bits(half[idx] ^ best[0])
             todo += [idx[d <= best[1] + 1], idx[d > best[1]]]
             continue
-        own, step = fp[idx], max(1, 4_000_000 // max(1, len(idx)))
-        for i in range(0, len(idx), step):
-            near = np.bitwise_count(own[i : i + step, None] ^ own[None, :]) <= LINK_BITS
-            for r in np.flatnonzero(near.sum(1) > 1):
-                roots = np.unique(label[idx[near[r]]])
-                if len(roots) > 1:
-                    label[np.isin(label, roots)] = roots[0]
-    return label
+        own = fp[idx]
+        if len(idx) > block_rows:
+            pairs = _close(own, low)
+        else:
+            step = max(1, 4_000_000 // max(1, len(idx)))
+            pairs = ((r + i, c) for i in range(0, len(idx), step) for r, c in [np.nonzero(np.bitwise_count(own[i : i + step, None] ^ own[None, :]) <= LINK_BITS)])
+        for i, j in pairs:
+            left.append(idx[i[i < j]])
+            right.append(idx[j[i < j]])
+    return _joined(len(fp), np.concatenate(left), np.concatenate(right))
 
 
 def shards(batches, key: str):

@@ -94,6 +94,26 @@ def test_links_equal_brute_force_in_many_shards(spark):
     assert (want == got).all()
 
 
+@pytest.mark.parametrize("low", [True, False])
+def test_many_fingerprints_that_share_a_half(low):
+    """A tree cannot split them; the other half finds the same components as brute force."""
+    rng = np.random.default_rng(4)
+    other = rng.integers(0, 2**32, 12_000, dtype=np.uint64)
+    for _ in range(3):
+        other[:2_000] = np.where(rng.random(2_000) < 0.5, other[2_000:4_000] ^ (np.uint64(1) << rng.integers(0, 32, 2_000, dtype=np.uint64)), other[:2_000])
+    other[4_000:6_000] = (other[4_000:6_000] & np.uint64(0xFFFF)) | np.uint64(7 << 16)  # a quarter is shared, too
+    shared = np.uint64(0xDEADBEEF)
+    fp = np.unique((other << np.uint64(32)) | shared if low else (shared << np.uint64(32)) | other)
+    want = np.arange(len(fp))
+    for i in range(len(fp)):
+        near = np.flatnonzero(np.bitwise_count(fp[i] ^ fp) <= 3)
+        if len(near) > 1:
+            roots = np.unique(want[near])
+            if len(roots) > 1:
+                want[np.isin(want, roots)] = roots[0]
+    assert (simhash.local_components(fp, low) == want).all() and (want != np.arange(len(fp))).sum() > 500
+
+
 def substring_reference(rows, window=20):
     seen, out = set(), {}
     for i, t in sorted(rows):
