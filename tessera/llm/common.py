@@ -13,11 +13,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in a local session a folder of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not folder:
-        folder = context.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+        folder = context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
