@@ -12,7 +12,7 @@ gives its words to a join with the counts, and words that occur once need no par
 
 Training covers every document once: in round r, each task takes the documents of its partition with hash r, runs
 minibatch Adam from the shared weights, and returns its weights; their mean, weighted by words, starts the next round.
-Weights are added up in a fixed number of slots before the driver sees them, so what is collected is bounded, while
+Weights are added up by a fixed number of tasks before the driver sees them, so what is collected is bounded, while
 what is counted and trained on grows with the corpus.
 """
 
@@ -36,13 +36,15 @@ WIDTH = 24
 SIDES = (-2, -1, 1, 2)
 #: Words whose counts go to the tasks, 16 bytes each and a table of 4 bytes by 4.
 VOCABULARY = 1 << 17
+NEVER = -30.0
 ROUNDS = 3
 BATCH = 2_048
 #: Words that are scored at a time, so that their logits stay in the processor's cache.
 BLOCK = 2_048
 RATE = 0.01
 CHUNK_CHARS = 1_000_000
-SLOTS = 64
+#: Tasks that add up the weights; the driver gets a row of about 0.7 MB from each.
+SLOTS = 16
 SHAPES = [(len(SIDES), CLASSES + 1, WIDTH), (WIDTH,), (WIDTH, CLASSES), (CLASSES,), (HASHED, MEMBERS + 1, WIDTH), (HASHED, MEMBERS + 1)]
 
 
@@ -66,6 +68,12 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "word long, slot long, n long").groupBy("word", "slot").agg(F.sum("n").alias("n"))
 
 
+def relative(counts: np.ndarray) -> np.ndarray:
+    """Log counts less the greatest of their row; entries that no word has get NEVER, so that they take no probability."""
+    most = counts.max(1, keepdims=True)
+    return np.where(counts > 0, np.log(np.maximum(counts, 1e-9) / np.maximum(most, 1e-9)), np.where(most > 0, NEVER, 0.0))
+
+
 class Vocabulary:
     """Class, member and log P(word | class, other) of any words, and the counts of the known ones."""
 
@@ -91,10 +99,11 @@ class Vocabulary:
         self.shared = np.log(np.maximum(shared, 1.0))  # log count of the other words of each class
         self.inner = np.where(own | inside, 0.0, np.log(np.maximum(self.n, 1)) - self.shared[slot])
         # where the network starts: the counts
-        self.base = np.log(np.concatenate((np.resize(self.n[:OWN], OWN) if v else np.ones(OWN), np.maximum(total, 1.0))).clip(1))
-        self.members = np.zeros((HASHED, MEMBERS + 1))
-        self.members[slot[inside], self.member[inside]] = np.log(np.maximum(self.n[inside], 1))
-        self.members[:, REST] = self.shared
+        self.base = relative(np.concatenate((np.pad(self.n[:OWN], (0, max(0, OWN - v))), total))[None])[0]
+        held = np.zeros((HASHED, MEMBERS + 1))
+        held[slot[inside], self.member[inside]] = self.n[inside]
+        held[:, REST] = shared
+        self.members = relative(held)
         self._fill()
 
     def _fill(self):
@@ -123,9 +132,9 @@ class Vocabulary:
     def start(self, seed: int = 11) -> np.ndarray:
         """Weights of a network that knows the counts only."""
         net = Network(seed=seed)
-        net.base[:] = self.base - self.base.mean()
+        net.base[:] = self.base
         net.inner[:] = 0
-        net.shift[:] = self.members - self.members.max(1, keepdims=True)
+        net.shift[:] = self.members
         return net.flat
 
 
@@ -292,8 +301,6 @@ def train(rows: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Netw
         start = net.flat.copy()
 
         def run(batches):
-            from pyspark import TaskContext
-
             own, adam, n = Network(start), Adam(len(start)), 0  # noqa: B023
             rng, words = np.random.default_rng(5), Words()
             for b in batches:
@@ -308,14 +315,18 @@ def train(rows: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Netw
                         adam.step(own, own.gradient(sides[:, k], y[k], member[k]))
                     n += len(y)
             if n:
-                yield pd.DataFrame({"slot": [TaskContext.get().partitionId() % SLOTS], "n": [n], "w": [(own.flat.astype(np.float64) * n).tobytes()]})
+                yield pd.DataFrame({"n": [n], "w": [(own.flat.astype(np.float64) * n).tobytes()]})
 
-        def add(pdf):
-            total = np.sum([np.frombuffer(w) for w in pdf["w"]], axis=0)
-            return pd.DataFrame({"n": [int(pdf["n"].sum())], "w": [total.tobytes()]})
+        def add(batches):
+            n, total = 0, 0.0
+            for b in batches:  # one sum is held, however many tasks there were
+                for m, w in zip(b["n"], b["w"]):
+                    n, total = n + int(m), total + np.frombuffer(w)
+            if n:
+                yield pd.DataFrame({"n": [n], "w": [total.tobytes()]})
 
         part = rows.where(F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(rounds)) == r)
-        got = part.mapInPandas(run, "slot int, n long, w binary").groupBy("slot").applyInPandas(add, "n long, w binary").collect()
+        got = part.mapInPandas(run, "n long, w binary").repartition(SLOTS).mapInPandas(add, "n long, w binary").collect()
         if got:
             net = Network(sum(np.frombuffer(g["w"]) for g in got) / sum(g["n"] for g in got))
     return net
