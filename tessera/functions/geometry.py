@@ -115,22 +115,37 @@ def hash_images(pictures: DataFrame) -> DataFrame:
     return pictures.mapInPandas(run, "card_id long, full long, name long, collector long")
 
 
+def embed_batch(model: Embedder, raws: list[bytes], size: int = 32) -> list[np.ndarray | Exception]:
+    """A vector or the error of each picture, `size` pictures a call; a group that fails is tried picture by picture."""
+    out = []
+    for i in range(0, len(raws), size):
+        group = raws[i : i + size]
+        try:
+            vectors = list(model.embed(group))
+            if len(vectors) != len(group):
+                raise ValueError(f"{len(vectors)} vectors for {len(group)} pictures")
+        except Exception as e:
+            vectors = [e] if len(group) == 1 else [v for raw in group for v in embed_batch(model, [raw], 1)]
+        out += vectors
+    return out
+
+
 def embed_images(pictures: DataFrame, make, dim: int) -> DataFrame:
-    """path, embedding and error from path and content; make() builds an Embedder once a worker, and a failure of one
-    picture is its row's error, not the batch's."""
+    """path, embedding and error from path and content; make() builds an Embedder once a worker, pictures go to it in
+    groups, and a failure of one picture is its row's error, not the batch's."""
 
     def run(batches):
         model = make()
         for b in batches:
             vectors, errors = [], []
-            for raw in b["content"]:
-                try:
-                    v = np.asarray(model.embed([raw])[0], np.float32)
-                    vectors.append((v / max(float(np.linalg.norm(v)), 1e-12)).tolist() if len(v) == dim else None)
-                    errors.append(None if len(v) == dim else f"dimension {len(v)}")
-                except Exception as e:
+            for v in embed_batch(model, b["content"].tolist()):
+                if isinstance(v, Exception):
                     vectors.append(None)
-                    errors.append(str(e))
+                    errors.append(str(v))
+                    continue
+                v = np.asarray(v, np.float32)
+                vectors.append((v / max(float(np.linalg.norm(v)), 1e-12)).tolist() if len(v) == dim else None)
+                errors.append(None if len(v) == dim else f"dimension {len(v)}")
             yield pd.DataFrame({"path": b["path"], "embedding": vectors, "error": errors})
 
     return pictures.select("path", "content").mapInPandas(run, "path string, embedding array<float>, error string")

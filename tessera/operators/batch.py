@@ -104,7 +104,8 @@ def retained(batches: DataFrame, results: DataFrame, now: Column, config=CONFIG)
 def retention_stats(batches: DataFrame, results: DataFrame, now: Column, config=CONFIG) -> DataFrame:
     """One row: batches and results to delete, and their bytes in MB with two decimals."""
     old = expired(batches, now, config).select("batch_id", "status")
-    per = results.groupBy("batch_id").agg(F.count("*").alias("results"), F.sum("bytes").alias("bytes"))
+    gone = results.join(old.select("batch_id"), "batch_id", "left_semi")
+    per = gone.groupBy("batch_id").agg(F.count("*").alias("results"), F.sum("bytes").alias("bytes"))
     both = old.join(per, "batch_id", "left")
     return both.agg(F.count("*").alias("batches_deleted"), F.coalesce(F.sum("results"), F.lit(0)).alias("results_deleted"), F.round(F.coalesce(F.sum("bytes"), F.lit(0.0)) / (1024 * 1024), 2).alias("mb_freed"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import decide
@@ -38,8 +38,16 @@ def enrich(rows: DataFrame, skus: DataFrame, ordinal: str = "sku_ord") -> DataFr
     )
 
 
+def _constant(word: str) -> Column:
+    known = {"null": None, "true": True, "false": False}
+    if word.lower() not in known:
+        raise ValueError(f"is takes null, true or false, not {word}")
+    return F.lit(known[word.lower()])
+
+
 def sku_filter(skus: DataFrame, params: dict[str, str]) -> DataFrame:
-    """The SKU list's filter grammar: column=op.value with eq, neq, gt, gte, lt, lte, in, like, ilike, is and not.is;
+    """The SKU list's filter grammar: column=op.value with eq, neq, gt, gte, lt, lte, in, like, ilike, is and not.is
+    (the last two with the value null, true or false);
     select, order (column.asc or .desc), limit (1000 at most) and offset."""
     out = skus
     for name, text in params.items():
@@ -52,7 +60,7 @@ def sku_filter(skus: DataFrame, params: dict[str, str]) -> DataFrame:
         tests = {
             "eq": lambda: c == value, "neq": lambda: c != value, "gt": lambda: c > value, "gte": lambda: c >= value, "lt": lambda: c < value, "lte": lambda: c <= value,
             "in": lambda: c.isin([v.strip() for v in value.strip("()").split(",")]), "like": lambda: c.like(value.replace("*", "%")), "ilike": lambda: c.ilike(value.replace("*", "%")),
-            "is": lambda: c.isNull(), "not.is": lambda: c.isNotNull(),
+            "is": lambda: c.eqNullSafe(_constant(value)), "not.is": lambda: ~c.eqNullSafe(_constant(value)),
         }
         if op not in tests:
             raise ValueError(f"unknown operator {op}")

@@ -57,7 +57,8 @@ def triangulate(lines: DataFrame, catalogue: DataFrame, order: str = "card_id")
     the title, 4 number and title, all in the line's finish.
 
     lines: query_id, title, set_code, number, finish; catalogue: card_id, name, set_code, number, finish. Each level is
-    a join on equal keys; the smallest level and then the catalogue's order win.
+    a join on equal keys with the catalogue's first card of each key, so that a common word or title gives a line one
+    row and not one a card; the smallest level and then the catalogue's order win. Lines of one query_id count together.
     """
     q = lines.select("query_id", F.lower(F.trim("title")).alias("t"), F.upper("set_code").alias("s"), F.lower("number").alias("n"), F.lower("finish").alias("f"), T.first_word(F.col("title")).alias("w"))
     c = catalogue.select("card_id", F.col(order).alias("o"), F.lower("name").alias("t"), F.upper("set_code").alias("s"), F.lower("number").alias("n"), F.lower("finish").alias("f"), T.first_word(F.col("name")).alias("w"))
@@ -65,7 +66,8 @@ def triangulate(lines: DataFrame, catalogue: DataFrame, order: str = "card_id")
     found = None
     for level, keys in levels:
         left = q.where(F.length("w") > 3) if level == 3 else q.where(F.length("t") > 0) if "t" in keys else q
-        hit = left.select("query_id", "f", *keys).join(c.select("card_id", "o", "f", *keys), ["f", *keys])
-        hit = hit.groupBy("query_id").agg(F.min(F.struct("o", "card_id")).alias("first")).select("query_id", F.lit(level).alias("level"), F.col("first.card_id").alias("card_id"))
+        firsts = c.groupBy("f", *keys).agg(F.min(F.struct("o", "card_id")).alias("first"))
+        hit = left.select("query_id", "f", *keys).join(firsts, ["f", *keys])
+        hit = hit.groupBy("query_id").agg(F.min("first").alias("first")).select("query_id", F.lit(level).alias("level"), F.col("first.card_id").alias("card_id"))
         found = hit if found is None else found.unionByName(hit)
     return found.groupBy("query_id").agg(F.min_by("card_id", "level").alias("card_id"), F.min("level").alias("level"))

@@ -160,6 +160,14 @@ def test_corrections_log_and_toggle(spark):
 def test_unknown_filters_are_refused(spark):
     with pytest.raises(ValueError, match="operator"):
         market.sku_filter(spark.range(1), {"id": "near.3"})
+    with pytest.raises(ValueError, match="is takes"):
+        market.sku_filter(spark.range(1), {"id": "is.three"})
+
+
+def test_is_takes_null_and_truth_values(spark):
+    df = spark.createDataFrame([(1, None), (2, True), (3, False)], "id long, foil boolean")
+    ids = lambda v: sorted(r.id for r in market.sku_filter(df, {"foil": v}).collect())
+    assert [ids(v) for v in ("is.null", "not.is.null", "is.true", "not.is.true")] == [[1], [2, 3], [2], [1, 3]]
 
 
 def test_sidecars_over_file_names(spark, tmp_path):
@@ -184,9 +192,9 @@ def test_image_folders(spark, tmp_path):
 
 class Sized:
     def embed(self, images):
-        if images[0] == b"bad":
+        if b"bad" in images:
             raise ValueError("unreadable")
-        return np.array([[len(images[0]), 1.0]])
+        return np.array([[len(x), 1.0] for x in images])
 
 
 def test_one_bad_picture_costs_no_other(spark):
@@ -196,6 +204,25 @@ def test_one_bad_picture_costs_no_other(spark):
     assert got["a"].error is None and abs(np.linalg.norm(got["a"].embedding) - 1) < 1e-6
 
 
+def test_pictures_go_to_the_model_in_groups():
+    calls = []
+
+    class Counting(Sized):
+        def embed(self, images):
+            calls.append(len(images))
+            return super().embed(images)
+
+    got = geometry.embed_batch(Counting(), [b"x" * i for i in range(1, 6)] + [b"bad"], 3)
+    assert calls == [3, 3, 1, 1, 1]
+    assert [v[0] for v in got[:5]] == [1, 2, 3, 4, 5] and str(got[5]) == "unreadable"
+
+
+def test_triangulation_takes_the_first_of_many_cards(spark):
+    cards = spark.createDataFrame([(i, "Common Word", "TST", "7", "foil") for i in range(9, 0, -1)], "card_id long, name string, set_code string, number string, finish string")
+    lines = spark.createDataFrame([(1, "common word", None, "7", "foil"), (2, "common thing", "tst", None, "foil"), (3, "none", "X", "1", "foil")], "query_id long, title string, set_code string, number string, finish string")
+    assert sorted(map(tuple, resolve.triangulate(lines, cards).select("query_id", "card_id", "level").collect())) == [(1, 1, 4), (2, 1, 3)]
+
+
 def test_streamed_batches(spark, tmp_path):
     spark.range(30).selectExpr("id", "id * 2 AS v").repartition(3).write.parquet(f"{tmp_path}/in")
     stream = ingest.file_stream(spark, f"{tmp_path}/in", "id long, v long", files=1)
