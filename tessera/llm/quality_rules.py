@@ -142,10 +142,9 @@ LOWER = [(i, j) for i in range(P) for j in range(i + 1)]
 def _moments(rows: DataFrame, *by) -> DataFrame:
     """n, means m* and covariances c** (lower triangle) of each group; by: columns to group by, and further aggregates."""
     keys, more = [k for k in by if isinstance(k, str)], [k for k in by if not isinstance(k, str)]
-    sums = [F.avg(x).alias(f"m{i}") for i, x in enumerate(X)] + [F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"c{i}{j}") for i, j in LOWER]
+    sums = [F.expr(f"avg(x{i}) AS m{i}") for i in range(P)] + [F.expr(f"avg(x{i} * x{j}) AS c{i}{j}") for i, j in LOWER]
     got = rows.groupBy(*keys).agg(F.count("*").alias("n"), *more, *sums)
-    means = [F.col(f"m{i}") for i in range(P)]
-    return got.select(*[c for c in got.columns if c[0] not in "mc"], *means, *[(F.col(f"c{i}{j}") - means[i] * means[j]).alias(f"c{i}{j}") for i, j in LOWER])
+    return got.selectExpr(*[c for c in got.columns if c[0] != "c"], *[f"c{i}{j} - m{i} * m{j} AS c{i}{j}" for i, j in LOWER])
 
 
 def _inverse(matrix: Column) -> Column:
@@ -167,36 +166,38 @@ def _inverse(matrix: Column) -> Column:
     return F.struct(F.transform(swept["p"], lambda x: -x).alias("p"), swept["det"].alias("det"))
 
 
-def _params(moments: DataFrame, factor: float, *keep: str) -> DataFrame:
-    """keep, m (means), p (inverse) and det of factor * covariance + RIDGE."""
-    cell = lambda i, j: factor * F.col(f"c{max(i, j)}{min(i, j)}") + (RIDGE if i == j else 0.0)
-    inverse = _inverse(F.array(*[cell(i, j) for i in range(P) for j in range(P)]))
-    return moments.select(*keep, F.array(*[f"m{i}" for i in range(P)]).alias("m"), inverse.alias("inverse")).select(*keep, "m", "inverse.*")
+def _params(moments: DataFrame, factor: float, inverse: Column, *keep: str) -> DataFrame:
+    """keep, m (means), p (inverse) and det of factor * covariance + RIDGE; inverse: that of the column `matrix`."""
+    cells = [f"{factor!r}D * c{max(i, j)}{min(i, j)} + {RIDGE if i == j else 0.0!r}D" for i in range(P) for j in range(P)]
+    means = ", ".join(f"m{i}" for i in range(P))
+    got = moments.selectExpr(*keep, f"array({means}) AS m", f"array({', '.join(cells)}) AS matrix")
+    return got.select(*keep, "m", inverse.alias("inverse")).select(*keep, "m", "inverse.*")
 
 
 def _far(rows: DataFrame, params: DataFrame, few: bool) -> DataFrame:
     """rows, with d, the squared Mahalanobis distance under each parameter row of their group."""
     got = _joined(rows, params, ["grp"], few)
-    got = got.select("*", *[(F.col(x) - F.get("m", F.lit(i))).alias(f"z{i}") for i, x in enumerate(X)])
-    terms = [F.get("p", F.lit(i * P + j)) * F.col(f"z{i}") * F.col(f"z{j}") * (1.0 if i == j else 2.0) for i, j in LOWER]
-    return got.withColumn("d", reduce(lambda a, b: a + b, terms)).drop("m", "p", *[f"z{i}" for i in range(P)])
+    got = got.selectExpr("*", *[f"x{i} - get(m, {i}) AS z{i}" for i in range(P)])
+    d = " + ".join(f"get(p, {i * P + j}) * z{i} * z{j} * {1 if i == j else 2}.0D" for i, j in LOWER)
+    return got.selectExpr(*[c for c in got.columns if c not in ("m", "p") and c[0] != "z"], f"{d} AS d")
 
 
 def mcd_moments(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """n, means m* and covariances c** of the estimate of each grp; rows: grp, x0..x4, a written table."""
     by = ["grp", "start"]
-    everything = _params(_moments(rows, "grp"), 1.0, "grp")
+    inverse = _inverse(F.col("matrix"))
+    everything = _params(_moments(rows, "grp"), 1.0, inverse, "grp")
     middle = cut(rows.groupBy("grp").agg(*[F.percentile_approx(x, 0.5, 10_000).alias(f"m{i}") for i, x in enumerate(X)]))
     few = middle.count() <= BROADCAST_GROUPS
     scale = [F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 10_000).alias(f"s{i}") for i, x in enumerate(X)]
     spread = _joined(rows, middle, ["grp"], few).groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(P)], *scale)
-    robust = _params(spread.select("*", *[(F.pow(1.4826 * F.col(f"s{i}"), 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in LOWER]), 1.0, "grp")
+    robust = _params(spread.select("*", *[(F.pow(1.4826 * F.col(f"s{i}"), 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in LOWER]), 1.0, inverse, "grp")
     one = lambda df, k: df.select("grp", F.lit(k).alias("start"), "m", "p", "det")
     params = cut(one(everything, 0).unionByName(one(robust, 1)))
     for _ in range(steps):
         limits = _far(rows, params, few).groupBy(*by).agg(F.percentile_approx("d", CORE, 10_000).alias("top"))
         core = _far(rows, params.join(limits, by), few).where("d <= top")
-        params = cut(_params(_moments(core, *by, F.max("det").alias("was")), CORE_FACTOR, *by, "was"))
+        params = cut(_params(_moments(core, *by, F.max("det").alias("was")), CORE_FACTOR, inverse, *by, "was"))
         moved = params.agg(F.max(F.abs(F.col("det") - F.col("was")))).first()[0]
         if moved is None or moved <= STILL:
             break
