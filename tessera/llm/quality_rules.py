@@ -62,6 +62,8 @@ SHRINK = 60
 STILL, STEPS = 1e-3, 30
 #: Narrow rows that a task of the fit should have at least.
 TASK_ROWS = 25_000
+#: Groups that a task of what there is once a group should have at least: many partitions would be files of a row each.
+TASK_GROUPS = 8
 #: Groups whose parameters are broadcast (about 200 bytes each), and salts of a hot group beyond it.
 BROADCAST_GROUPS = 50_000
 SALTS = 32
@@ -135,6 +137,11 @@ def _joined(rows: DataFrame, params: DataFrame, on: list[str], few: bool, how: s
     return salted.join(spread, [*on, "__salt"], how).drop("__salt")
 
 
+def _cut_groups(params: DataFrame, groups: int) -> DataFrame:
+    """params, rows of so many groups, written by as few tasks as TASK_GROUPS says."""
+    return cut(params.coalesce(max(1, -(-groups // TASK_GROUPS))))
+
+
 X = [f"x{i}" for i in range(P)]
 LOWER = [(i, j) for i in range(P) for j in range(i + 1)]
 
@@ -188,21 +195,22 @@ def mcd_moments(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     inverse = _inverse(F.col("matrix"))
     everything = _params(_moments(rows, "grp"), 1.0, inverse, "grp")
     middle = cut(rows.groupBy("grp").agg(*[F.percentile_approx(x, 0.5, 10_000).alias(f"m{i}") for i, x in enumerate(X)]))
-    few = middle.count() <= BROADCAST_GROUPS
+    groups = middle.count()
+    few = groups <= BROADCAST_GROUPS
     scale = [F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 10_000).alias(f"s{i}") for i, x in enumerate(X)]
     spread = _joined(rows, middle, ["grp"], few).groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(P)], *scale)
     robust = _params(spread.select("*", *[(F.pow(1.4826 * F.col(f"s{i}"), 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in LOWER]), 1.0, inverse, "grp")
     one = lambda df, k: df.select("grp", F.lit(k).alias("start"), "m", "p", "det")
-    params = cut(one(everything, 0).unionByName(one(robust, 1)))
+    params = _cut_groups(one(everything, 0).unionByName(one(robust, 1)), groups)
     for _ in range(steps):
         limits = _far(rows, params, few).groupBy(*by).agg(F.percentile_approx("d", CORE, 10_000).alias("top"))
         core = _far(rows, params.join(limits, by), few).where("d <= top")
-        params = cut(_params(_moments(core, *by, F.max("det").alias("was")), CORE_FACTOR, inverse, *by, "was"))
+        params = _cut_groups(_params(_moments(core, *by, F.max("det").alias("was")), CORE_FACTOR, inverse, *by, "was"), groups)
         moved = params.agg(F.max(F.abs(F.col("det") - F.col("was")))).first()[0]
         if moved is None or moved <= STILL:
             break
-    best = cut(params.groupBy("grp").agg(F.min_by(F.struct("m", "p"), "det").alias("best")).select("grp", "best.*"))
-    return cut(_moments(_far(rows, best, few).where(F.col("d") <= REWEIGHT), "grp"))
+    best = _cut_groups(params.groupBy("grp").agg(F.min_by(F.struct("m", "p"), "det").alias("best")).select("grp", "best.*"), groups)
+    return _cut_groups(_moments(_far(rows, best, few).where(F.col("d") <= REWEIGHT), "grp"), groups)
 
 
 def _factor(moments: DataFrame, s: str) -> DataFrame:
@@ -257,7 +265,7 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, key: tuple[str, ...]
     up = F.concat_ws("\u0001", F.lit("lang"), F.get(F.split("grp", "\u0001"), F.lit(1)))
     languages = _shrunk(moments.where(F.col("grp").startswith("lang\u0001")).withColumn("up", F.lit("all")), top)
     own = _shrunk(moments.where(F.col("grp").startswith("own\u0001")).withColumn("up", up), languages)
-    params = cut(_factor(own, "_f"))
+    params = _cut_groups(_factor(own, "_f"), moments.count())
     judged = _distance(_joined(stats, params, ["grp"], params.count() <= BROADCAST_GROUPS, "left"), "_f").withColumn("distance2", F.when(~F.col("base_failed"), F.col("d_f")))
     kept = ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= cutoff)
     return judged.select("doc_id", *key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("distance2", 3).alias("distance2"))

@@ -89,3 +89,26 @@ def test_no_python_in_the_plan(spark):
     rows = table(spark, [(i, prose(__import__("random").Random(i), 60)) for i in range(8)])
     plan = q.quality_rules(rows.select("doc_id", "text", "lang", F.lit("s").alias("source")))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_tables_of_groups_take_few_files(spark, monkeypatch):
+    """What there is once a group and step is not written as one file for each shuffle partition; the estimates stay."""
+    rng = np.random.default_rng(5)
+    x = {g: rng.normal(size=(60, 5)) for g in "abc"}
+    rows = spark.createDataFrame([(g, *map(float, r)) for g, t in x.items() for r in t], "grp string, " + ", ".join(f"x{i} double" for i in range(5)))
+    files = []
+    real = q.cut
+    monkeypatch.setattr(q, "cut", lambda df: files.append((out := real(df)).rdd.getNumPartitions()) or out)
+    own = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        got = {r.grp: r for r in q.mcd_moments(rows).collect()}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert len(files) > 3 and sum(n > 1 for n in files) <= 1  # the medians alone, which tell how many groups there are
+    for g, t in x.items():
+        n, mean, _ = estimate(t)
+        assert got[g].n == n and np.allclose([got[g][f"m{i}"] for i in range(5)], mean)
