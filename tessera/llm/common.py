@@ -33,6 +33,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Of the Parquet files that hold texts: what a writer keeps in memory, and a reader of one group after it, in each task.
+ROW_GROUP_BYTES = 16 << 20
+
+
+def bounded_groups(spark: SparkSession) -> None:
+    """From now on this session writes Parquet in groups of ROW_GROUP_BYTES, unless it names a size itself."""
+    key = "parquet.block.size"
+    if spark.conf.get(key, None) is None and spark.sparkContext._jsc.hadoopConfiguration().get(key) is None:
+        spark.conf.set(key, str(ROW_GROUP_BYTES))
+
+
 #: What a null doc_id reads as.
 NO_ID = -(1 << 63)
 

@@ -1,11 +1,13 @@
 """The pipeline against the stages' brute force, and the registered queries' columns."""
 
+import glob
 import random
 
 import corpus_pipeline
 import public_tokenizers
+import pyarrow.parquet as pq
 import tiktoken
-from tessera.llm import byte_bpe, queries, stages
+from tessera.llm import byte_bpe, common, queries, stages
 
 from .conftest import prose, table
 from .test_exact import exact_reference, simhash_reference
@@ -54,6 +56,33 @@ def test_stages_on_empty_tables(spark, tmp_path):
         assert f(spark, docs, str(tmp_path)).count() == 0, name
 
 
+def test_stages_write_small_row_groups(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"{rng.getrandbits(48):x}" for _ in range(300)), "en", "s0", 0) for i in range(2_000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(50)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert len(groups(f"{tmp_path}/documents.parquet")) == 1
+    monkeypatch.setattr(common, "ROW_GROUP_BYTES", 1 << 20, raising=False)
+    spark.conf.unset("parquet.block.size")
+    try:
+        for name, f in corpus_pipeline.STAGES[1:4]:
+            f(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/out-{f.__name__}")
+            assert 0 < max(groups(f"{tmp_path}/out-{f.__name__}")) < 2 << 20, name
+            spark.conf.unset("parquet.block.size")
+        spark.conf.set("parquet.block.size", "33554432")
+        stages.exact(spark, docs, str(tmp_path))
+        assert spark.conf.get("parquet.block.size") == "33554432"
+    finally:
+        spark.conf.unset("parquet.block.size")
+
+
+def groups(folder):
+    """Compressed bytes of each row group of a written table."""
+    files = [pq.ParquetFile(p).metadata for p in glob.glob(f"{folder}/*.parquet")]
+    return [sum(m.row_group(i).column(c).total_compressed_size for c in range(m.num_columns)) for m in files for i in range(m.num_row_groups)]
+
+
 def test_without_beyond_the_broadcast_limit(spark):
     from tessera.llm.common import without
 
