@@ -21,11 +21,12 @@ import sys
 import uuid
 import zlib
 from array import array
-from collections import Counter
 from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyarrow import fs
@@ -42,6 +43,8 @@ SAMPLE_CHARS = 4_000
 DICTIONARY_BYTES = 64 * 1024
 LEVEL = 6
 CHUNK_CHARS = 1_000_000
+#: A distinct unit of a chunk is looked up once, so larger chunks take less time and more memory.
+UNIT_CHARS = 8_000_000
 
 
 def _open(uri: str):
@@ -78,8 +81,6 @@ BLANK = BYTE_CHARS[0x20]
 SLICES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 MARKS = (".", ",", ";", ":", "!", "?")
 CACHE_UNITS = 500_000
-#: Units of the first large chunk that are looked up before all others, in a table that fits the processor's cache.
-HOT_UNITS = 8_192
 _encoders: dict = {}
 
 
@@ -116,12 +117,11 @@ class _Encoder:
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
-        self.hot: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def __call__(self, some: list[str]):
-        for chunk in _chunks(some):
+        for chunk in _chunks(some, UNIT_CHARS if self.by_slices else CHUNK_CHARS):
             yield from self._by_units(chunk) if self.by_slices else map(self._bytes, self.tokenizer.encode_batch_fast(chunk, add_special_tokens=False))
 
     def _serialised(self, ids: list[int]) -> bytes:
@@ -157,16 +157,17 @@ class _Encoder:
             known.update(zip(missing, self._tokenized(missing)))
         return known
 
-    def _units(self, units: list[str]) -> dict[str, bytes]:
-        """Ids of units, each behind a blank. Letters alone, or with one common mark behind them, need no pattern."""
+    def _units(self, units: list[str], out: dict[str, bytes]):
+        """Put ids of units, each behind a blank, into out. Letters alone, or with one common mark behind them, need no pattern."""
         letters, marked, other = [], [], []
         for u in units:
             (letters if u.isalpha() else marked if u[-1:] in MARKS and u[:-1].isalpha() else other).append(u)
-        known = self._pieces([[" " + u for u in letters], [" " + u[:-1] for u in marked], list(MARKS)])
-        out = {u: known[" " + u] for u in letters} | {u: known[" " + u[:-1]] + known[u[-1]] for u in marked}
+        plain, bare = [" " + u for u in letters], [" " + u[:-1] for u in marked]
+        known = self._pieces([plain, bare, list(MARKS)])
+        out.update(zip(letters, map(known.__getitem__, plain)))
+        out.update((u, known[x] + known[u[-1]]) for u, x in zip(marked, bare))
         if other:
             out.update(zip(other, self._sliced(other)))
-        return out
 
     def _sliced(self, units: list[str]) -> list[bytes]:
         """The same from the slices of one text: a slice with a blank starts a unit."""
@@ -178,50 +179,54 @@ class _Encoder:
         cuts, blob = [*(ends[heads] - [len(ids[h]) for h in heads]).tolist(), int(ends[-1])], b"".join(ids)
         return [blob[x:y] for x, y in zip(cuts, cuts[1:])]
 
+    def _by_slices(self, some: list[str]):
+        for chunk in _chunks(some, CHUNK_CHARS):
+            cut = [SLICES.findall(t) for t in chunk]
+            known = self._pieces(cut)
+            yield from [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+
     def _by_units(self, chunk: list[str]):
+        """Texts are cut and units told apart as Arrow arrays: only distinct units become objects, and all ids are taken at once."""
         if len(self.first) > CACHE_UNITS:
             self.first = {}
         if len(self.later) > CACHE_UNITS:
-            self.later, self.before = {}, self.later
+            self.later, self.before = {}, self.later if len(self.later) <= 2 * CACHE_UNITS else {}
         first, later = self.first, self.later
-        units = [None if _uneven(t) else t.split(" ") for t in chunk]
-        flat = list(chain.from_iterable(u[1:] for u in units if u))
-        ids = list(map(self.hot.get, flat))
-        open_ = [i for i, x in enumerate(ids) if x is None]
-        if open_:
-            left = [flat[i] for i in open_]
-            tails = []
-            for u in set(filterfalse(later.__contains__, left)):
-                if (x := self.before.get(u)) is None:
-                    tails.append(u)
-                else:
-                    later[u] = x
-            later.update(self._units(tails))
-            for i, x in zip(open_, map(later.__getitem__, left)):
-                ids[i] = x
-        if not self.hot and len(flat) >= 8 * HOT_UNITS:
-            self.hot = {u: later[u] for u, _ in Counter(flat).most_common(HOT_UNITS)}
-        heads = list({u[0] for u in units if u}.difference(first))
-        rest = [SLICES.findall(t) for t in [*heads, *[t for t, u in zip(chunk, units) if u is None]]]
-        known = self._pieces(rest)
-        got = [b"".join(map(known.__getitem__, pieces)) for pieces in rest]
-        first.update(zip(heads, got))
-        whole = iter(got[len(heads) :])
+        cut = [None if _uneven(t) else t.partition(" ") for t in chunk]
+        units = pc.split_pattern(pa.array([c[2] for c in cut if c and c[1]], pa.large_string()), " ")
+        coded = units.flatten().dictionary_encode()
+        own = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        tails = []
+        for u in filterfalse(later.__contains__, own):
+            if (x := self.before.get(u)) is None:
+                tails.append(u)
+            else:
+                later[u] = x
+        for part in _chunks(tails, CHUNK_CHARS):
+            self._units(part, later)
+        ids = pa.array(map(later.__getitem__, own), pa.large_binary(), size=len(own)).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[units.offsets.to_numpy()].tolist()
+        blob = memoryview(ids.buffers()[2] or b"")
+        heads = list({c[0] for c in cut if c}.difference(first))
+        first.update(zip(heads, self._by_slices(heads)))
+        whole = self._by_slices([t for t, c in zip(chunk, cut) if c is None])
         at = 0
-        for u in units:
-            if u is None:
+        for c in cut:
+            if c is None:
                 yield next(whole)
+            elif c[1]:
+                yield first[c[0]] + blob[ends[at] : ends[at + 1]]
+                at += 1
             else:
-                yield first[u[0]] + b"".join(ids[at : at + len(u) - 1])
-                at += len(u) - 1
+                yield first[c[0]]
 
 
-def _chunks(some: list[str]):
-    """some in runs of about CHUNK_CHARS characters."""
+def _chunks(some: list[str], chars: int):
+    """some in runs of about so many characters."""
     at = 0
     while at < len(some):
         n, end = 0, at
-        while end < len(some) and (end == at or n + len(some[end]) < CHUNK_CHARS):
+        while end < len(some) and (end == at or n + len(some[end]) < chars):
             n += len(some[end])
             end += 1
         yield some[at:end]

@@ -1,7 +1,9 @@
 """Exact, SimHash and substring dedup, tokenising and token output against brute force."""
 
 import hashlib
+import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -219,6 +221,30 @@ def test_token_output(spark, corpus, tmp_path):
         token_output.ShardReader(f"file://{tmp_path}/ids/{shard['file']}", b"other")
 
 
+def test_encoder_is_the_library_at_any_chunk_size(monkeypatch):
+    model = open(MODEL, encoding="utf-8").read()
+    rng = random.Random(4)
+    parts = ["a", "the", "don't", "1", "23", "é", "日本", "\n", "\t", " ", " ", " ", "  ", "\u3000", ".", ",", "$$", "\x00", "😀", " x", " of"]
+    some = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(1_500)] + ["one", "a b"]
+    encoder = token_output._Encoder(model)
+    want = [encoder._serialised(x.ids) for x in encoder.tokenizer.encode_batch(some, add_special_tokens=False)]
+    for units, chars in ((1, 1), (300, 100), (token_output.UNIT_CHARS, token_output.CHUNK_CHARS)):
+        monkeypatch.setattr(token_output, "UNIT_CHARS", units)
+        monkeypatch.setattr(token_output, "CHUNK_CHARS", chars)
+        assert list(token_output._Encoder(model)(some)) == want
+        assert [list(token_output._Encoder(model)(x)) for x in ([], [" "], ["a b"])] == [[], *[[encoder._serialised(encoder.tokenizer.encode(t).ids)] for t in (" ", "a b")]]
+
+
+def test_encoder_makes_no_object_for_a_repeated_unit():
+    encoder = token_output._Encoder(open(MODEL, encoding="utf-8").read())
+    text = " ".join(random.Random(5).choices([f"word{i}" for i in range(100)], k=400_000))
+    tracemalloc.start()
+    (ids,) = encoder([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * (len(text) + len(ids))
+
+
 def test_other_tokenizers_encode_whole_texts(spark, corpus, tmp_path):
     model = public_tokenizers.path("word_bpe_49k.json")
     token_output.write_ids(table(spark, corpus[:20]), f"file://{tmp_path}/w", model, end_id=None)
